@@ -139,7 +139,7 @@ def congestion_score_rule(noise: Column | None = None) -> Column:
          + F.coalesce(F.try_element_at(_map(LOCATION_BIAS), F.col("location")), F.lit(0.0)))
     if noise is not None:
         s = s + noise
-    return F.bround(_level_clamp(s), 2)
+    return round_binary(_level_clamp(s), 2)
 
 
 def congestion_heuristic() -> Column:
@@ -219,3 +219,14 @@ def within_hours_ahead(hour: ColumnOrName, current_hour: int, horizon: int) -> C
     """hour lies in the next ``horizon`` hours from ``current_hour``
     (wrapping at 24)."""
     return F.pmod(_c(hour) - F.lit(int(current_hour)), F.lit(24)) < horizon
+
+
+def round_binary(x: ColumnOrName, digits: int) -> Column:
+    """Half-even rounding of the *binary* value scaled by 10^digits, like
+    numpy / pandas ``round`` (and, outside rare scaling ties, Python's
+    ``round``). ``bround(x, d)`` instead rounds the shortest decimal
+    printout: 1.015 → 1.02, where the reference gives 1.01."""
+    if digits == 0:
+        return F.bround(_c(x), 0)
+    scale = float(10 ** digits)
+    return F.bround(_c(x) * F.lit(scale), 0) / F.lit(scale)

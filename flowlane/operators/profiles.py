@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import (congestion_rate_pct, level, level_label, time_slot,
-                                 within_hours_ahead)
+from ..functions.columns import (congestion_rate_pct, level, level_label, round_binary,
+                                 time_slot, within_hours_ahead)
 from ..schema import LEVEL_LABELS, ROW_ID, TARGET
 
 
@@ -60,7 +60,7 @@ def location_ranking(df: DataFrame, value: str = TARGET) -> DataFrame:
     return agg.select(
         F.row_number().over(w).alias("rank"),
         "location",
-        F.bround("_m", 3).alias("avg_congestion"),
+        round_binary("_m", 3).alias("avg_congestion"),
         F.bround("_v", 0).cast("long").alias("avg_traffic_volume"),
         F.bround("_s", 0).cast("long").alias("avg_speed"),
         "samples",
@@ -100,7 +100,7 @@ def optimal_times(df: DataFrame, value: str = TARGET) -> DataFrame:
         "congestion_level", "max_congestion",
         F.col("best.v").cast("long").alias("traffic_volume"),
         F.col("best.s").cast("long").alias("avg_speed"),
-        F.bround(pct, 1).alias("improvement_pct"))
+        round_binary(pct, 1).alias("improvement_pct"))
 
 
 def hour_outlook(df: DataFrame, current_hour: int, horizon: int = 6, value: str = TARGET) -> DataFrame:
@@ -121,7 +121,7 @@ def hour_outlook(df: DataFrame, current_hour: int, horizon: int = 6, value: str
     nxt = F.max(F.when(F.col("offset") == 1, F.col("m"))).over(Window.partitionBy())
     return j.select(
         "offset", "hour",
-        F.bround("m", 3).alias("predicted_congestion"),
+        round_binary("m", 3).alias("predicted_congestion"),
         level_label(F.bround("m", 0)).alias("label"),
         F.when(nxt > cur, "increasing").when(nxt < cur, "decreasing").otherwise("stable")
         .alias("trend_direction"))
@@ -158,7 +158,7 @@ def level_distribution(df: DataFrame, mode: str = "floor", value: str = TARGET)
     j = levels.join(F.broadcast(counts), "level", "left").withColumn("count", F.coalesce("n", F.lit(0)))
     total = F.sum("count").over(Window.partitionBy())  # 4 rows
     return j.select("level", level_label("level").alias("label"), "count",
-                    F.coalesce(F.bround(F.col("count") * 100.0 / total, 2), F.lit(0.0)).alias("pct"))
+                    F.coalesce(round_binary(F.col("count") * 100.0 / total, 2), F.lit(0.0)).alias("pct"))
 
 
 def heatmap(df: DataFrame, value: str = TARGET) -> DataFrame:

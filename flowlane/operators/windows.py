@@ -150,12 +150,12 @@ def congestion_trend(df: DataFrame, window: int = 6, value: str = TARGET,
 
 # --- W2t: clock-true rolling ---------------------------------------------------
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def epoch_micros(ts: str | Column) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock timestamp (no time zone
+    involved, so the result does not depend on the session zone)."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _EPOCH, t.cast("timestamp_ntz"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, t.cast("timestamp_ntz"))
 
 
 def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[int] | None = None,

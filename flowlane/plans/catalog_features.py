@@ -258,3 +258,134 @@ def q_weather_codes(spark, sf):
     noisy = F.concat(F.lit("  "), F.upper(lab), F.lit(" "))
     return df.select("event_id", lab.alias("weather_label"),
                      C.encode_weather(noisy).alias("roundtrip_code"))
+
+
+# ------------------------------------------------------------- T transforms ---
+
+from ..operators import transforms as T  # noqa: E402
+
+_NULLED_SQL = """nulled AS (
+  SELECT event_id,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE traffic_volume END AS traffic_volume,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE temperature END AS temperature,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE location END AS location
+  FROM obs)"""
+
+
+def _nulled(spark, sf):
+    e = F.col("event_id")
+    return observations(spark, sf).select(
+        "event_id",
+        F.when(e % 17 == 0, F.lit(None)).otherwise(F.col("traffic_volume")).alias("traffic_volume"),
+        F.when(e % 13 == 0, F.lit(None)).otherwise(F.col("temperature")).alias("temperature"),
+        F.when(e % 11 == 0, F.lit(None)).otherwise(F.col("location")).alias("location"))
+
+
+@register("impute", _with_obs("""
+SELECT event_id,
+  coalesce(CAST(traffic_volume AS DOUBLE), (SELECT CAST(median(traffic_volume) AS DOUBLE) FROM nulled)) AS traffic_volume,
+  round(coalesce(temperature, (SELECT median(temperature) FROM nulled)), 6) AS temperature,
+  coalesce(location, (SELECT location FROM nulled WHERE location IS NOT NULL
+                      GROUP BY location ORDER BY count(*) DESC, location LIMIT 1)) AS location
+FROM nulled""", _NULLED_SQL))
+def q_impute(spark, sf):
+    out = T.impute(_nulled(spark, sf), numeric=["traffic_volume", "temperature"], categorical=["location"])
+    return out.select("event_id", "traffic_volume", _r6("temperature"), "location")
+
+
+_CAP_COLS = ["hour", "day_of_week", "day_of_month", "month", "weather_condition", "temperature",
+             "humidity", "precipitation", "wind_speed", "traffic_volume", "avg_speed"]
+
+
+def _cap_sql_cols():
+    bounds = ", ".join(
+        f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, "
+        f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}"
+        for c in _CAP_COLS)
+    sel = ", ".join(f"round(least(greatest(CAST({c} AS DOUBLE), lo_{c}), hi_{c}), 6) + 0.0 AS {c}"
+                    for c in _CAP_COLS)
+    return bounds, sel
+
+
+_B, _S = _cap_sql_cols()
+
+
+@register("cap_outliers_iqr", _with_obs(f"SELECT event_id, {_S} FROM obs CROSS JOIN (SELECT {_B} FROM obs)"))
+def q_cap_outliers_iqr(spark, sf):
+    df = observations(spark, sf)
+    out = T.cap_outliers_iqr(df)  # default columns: numeric minus the six excluded and the row id
+    return out.select("event_id", *[_r6(c) for c in _CAP_COLS])
+
+
+_Z_COLS = ["temperature", "humidity", "precipitation", "wind_speed", "traffic_volume", "avg_speed"]
+_ZB = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}, median({c}) AS md_{c}" for c in _Z_COLS)
+_ZS = ", ".join(f"round(CASE WHEN abs(({c} - m_{c}) / nullif(s_{c}, 0)) > 3 THEN CAST(md_{c} AS DOUBLE) "
+                f"ELSE CAST({c} AS DOUBLE) END, 6) AS {c}" for c in _Z_COLS)
+
+
+@register("replace_outliers_zscore", _with_obs(f"SELECT event_id, {_ZS} FROM obs CROSS JOIN (SELECT {_ZB} FROM obs)"))
+def q_replace_outliers_zscore(spark, sf):
+    out = T.replace_outliers_zscore(observations(spark, sf), _Z_COLS, 3.0)
+    return out.select("event_id", *[_r6(c) for c in _Z_COLS])
+
+
+@register("label_encode", _with_obs("""
+SELECT event_id, location, CAST(dense_rank() OVER (ORDER BY location) - 1 AS INT) AS location_encoded FROM obs"""))
+def q_label_encode(spark, sf):
+    out, _ = T.label_encode(observations(spark, sf).select("event_id", "location"), ["location"])
+    return out.select("event_id", "location", "location_encoded")
+
+
+_SC_COLS = ["hour", "temperature", "humidity", "precipitation", "wind_speed", "traffic_volume",
+            "avg_speed", "is_holiday"]
+_SCB = ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _SC_COLS)
+_SCS = ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}_scaled" for c in _SC_COLS)
+
+
+@register("standard_scale", _with_obs(f"SELECT event_id, {_SCS} FROM obs CROSS JOIN (SELECT {_SCB} FROM obs)"))
+def q_standard_scale(spark, sf):
+    out = T.standard_scale(observations(spark, sf), _SC_COLS, suffix="_scaled")
+    return out.select("event_id", *[_r6(f"{c}_scaled") for c in _SC_COLS])
+
+
+@register("stratified_split", _with_obs("""
+SELECT split, CAST(rows AS BIGINT) AS rows FROM (
+  SELECT 'test' AS split, CAST(ceil(0.2 * n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM obs)
+  UNION ALL SELECT 'validation', CAST(ceil(0.125 * (n - ceil(0.2 * n))) AS BIGINT) FROM (SELECT count(*) AS n FROM obs)
+  UNION ALL SELECT 'train', CAST(n - ceil(0.2 * n) - ceil(0.125 * (n - ceil(0.2 * n))) AS BIGINT)
+    FROM (SELECT count(*) AS n FROM obs))"""))
+def q_stratified_split(spark, sf):
+    s = T.stratified_split(observations(spark, sf).select("event_id", "congestion_level"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("preprocess", _with_obs(
+    f"SELECT event_id, {_S}, CAST(dense_rank() OVER (ORDER BY location) - 1 AS INT) AS location_encoded "
+    f"FROM obs CROSS JOIN (SELECT {_B} FROM obs)"))
+def q_preprocess(spark, sf):
+    from .training import preprocess
+    out, _state = preprocess(observations(spark, sf))
+    return out.select("event_id", *[_r6(c) for c in _CAP_COLS], "location_encoded")
+
+
+@register("engineer_features", _with_obs("""
+SELECT event_id, location, traffic_volume_lag_24h, round(avg_speed_rolling_mean_24h, 6) AS avg_speed_rolling_mean_24h,
+  round(traffic_volume_rolling_std_24h, 6) AS traffic_volume_rolling_std_24h, congestion_trend
+FROM (
+  SELECT event_id, location,
+    lag(traffic_volume, 24) OVER w AS traffic_volume_lag_24h,
+    lag(avg_speed, 24) OVER w AS avg_speed_lag_24h,
+    avg(avg_speed) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS avg_speed_rolling_mean_24h,
+    coalesce(stddev_samp(traffic_volume) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 0) AS traffic_volume_rolling_std_24h,
+    CASE WHEN d > 0.1 THEN 1 WHEN d < -0.1 THEN -1 ELSE 0 END AS congestion_trend
+  FROM (SELECT *, s - lag(s) OVER w AS d FROM (
+          SELECT *, avg(congestion_level) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s
+          FROM obs WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
+        WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
+  WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
+WHERE traffic_volume_lag_24h IS NOT NULL AND avg_speed_lag_24h IS NOT NULL"""))
+def q_engineer_features(spark, sf):
+    from .features import engineer_features
+    out = engineer_features(observations(spark, sf))
+    return out.select("event_id", "location", "traffic_volume_lag_24h", _r6("avg_speed_rolling_mean_24h"),
+                      _r6("traffic_volume_rolling_std_24h"), "congestion_trend")

@@ -1 +1,248 @@
-"""Model / scoring queries (registered on import)."""
+"""Model, ensemble, scoring and streaming-shaped queries (registered on import)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import models as M
+from ..operators import profiles as A
+from ..sources.tables import observations
+from ..streaming.live import live_location_summary
+from .catalog import _label_sql, _r6, _with_obs, register
+from .catalog_features import HEURISTIC_SQL
+
+_RULE_SQL_NOROUND = None  # filled below
+
+
+@register("regression_metrics", _with_obs(f"""
+SELECT round_even(avg(abs(y - p)), 4) AS MAE, round_even(avg((y - p) * (y - p)), 4) AS MSE,
+  round_even(sqrt(avg((y - p) * (y - p))), 4) AS RMSE,
+  round_even(1 - avg((y - p) * (y - p)) / var_pop(y), 4) AS R2,
+  round_even(avg(CASE WHEN CAST(round_even(p, 0) AS INT) = CAST(trunc(y) AS INT) THEN 1.0 ELSE 0.0 END), 4) AS Accuracy
+FROM (SELECT congestion_level AS y, {HEURISTIC_SQL} AS p FROM obs)"""))
+def q_regression_metrics(spark, sf):
+    df = observations(spark, sf).withColumn("prediction", C.congestion_heuristic())
+    return M.regression_metrics(df, "congestion_level", "prediction")
+
+
+def _pred_cols():
+    """Deterministic stand-in predictions derived from the table (the M5/M6
+    blend and M8 confidence only see prediction columns)."""
+    e = F.col("event_id")
+    return {
+        "random_forest": F.col("congestion_level") * 0.9 + 0.1,
+        "xgboost": C.congestion_heuristic(),
+        "linear_regression": F.when(e % 5 == 0, F.lit(None)).otherwise(C.hourly_multiplier() * 1.5),
+        "lstm": F.when(e % 4 == 0, F.lit(None)).otherwise(F.col("traffic_volume") / 500.0),
+    }
+
+
+_PRED_SQL = f"""preds AS (
+  SELECT event_id, congestion_level * 0.9 + 0.1 AS rf, {HEURISTIC_SQL} AS xgb,
+    CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1.5 * CAST(CASE WHEN is_weekend <> 0 THEN
+      CASE WHEN hour BETWEEN 8 AND 11 THEN 0.7 WHEN hour BETWEEN 12 AND 17 THEN 0.8
+           WHEN hour BETWEEN 18 AND 22 THEN 0.6 ELSE 0.2 END
+      ELSE CASE WHEN hour BETWEEN 7 AND 9 THEN 1.0 + 0.2 * sin(pi() * (hour - 7) / 2)
+                WHEN hour BETWEEN 10 AND 15 THEN 0.6 + 0.1 * sin(pi() * (hour - 10) / 5)
+                WHEN hour BETWEEN 16 AND 19 THEN 1.0 + 0.2 * sin(pi() * (hour - 16) / 3)
+                WHEN hour BETWEEN 20 AND 23 THEN 0.4 ELSE 0.1 END END AS DOUBLE) END AS lin,
+    CASE WHEN event_id % 4 = 0 THEN NULL ELSE traffic_volume / 500.0 END AS lstm
+  FROM obs)"""
+
+
+@register("ensemble_training", _with_obs("""
+SELECT event_id, round(rf * (0.30 / 0.90) + xgb * (0.35 / 0.90) + (traffic_volume / 500.0) * (0.25 / 0.90), 6)
+  AS ensemble_prediction FROM obs JOIN preds USING (event_id)""", _PRED_SQL))
+def q_ensemble_training(spark, sf):
+    df = observations(spark, sf)
+    p = _pred_cols()
+    p["lstm"] = F.col("traffic_volume") / 500.0  # training form: all test predictions present
+    return df.select("event_id", F.round(M.ensemble_training(p), 6).alias("ensemble_prediction"))
+
+
+_ENS_SQL = """
+blend AS (
+  SELECT *, (CASE WHEN rf IS NOT NULL THEN CAST(0.30 AS DOUBLE) ELSE 0 END + CASE WHEN xgb IS NOT NULL THEN CAST(0.35 AS DOUBLE) ELSE 0 END
+            + CASE WHEN lin IS NOT NULL THEN CAST(0.10 AS DOUBLE) ELSE 0 END + CASE WHEN lstm IS NOT NULL THEN CAST(0.25 AS DOUBLE) ELSE 0 END) AS tw,
+    (CASE WHEN rf IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN xgb IS NOT NULL THEN 1 ELSE 0 END
+     + CASE WHEN lin IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN lstm IS NOT NULL THEN 1 ELSE 0 END) AS n
+  FROM preds),
+val AS (
+  SELECT *, least(greatest(CASE WHEN tw > 0 THEN coalesce(rf * CAST(0.30 AS DOUBLE) / tw, 0) + coalesce(xgb * CAST(0.35 AS DOUBLE) / tw, 0)
+      + coalesce(lin * CAST(0.10 AS DOUBLE) / tw, 0) + coalesce(lstm * CAST(0.25 AS DOUBLE) / tw, 0) ELSE CAST(0.5 AS DOUBLE) END, 0.0), 3.0) AS v,
+    (coalesce(rf, 0) + coalesce(xgb, 0) + coalesce(lin, 0) + coalesce(lstm, 0)) / n AS mu
+  FROM blend),
+lv AS (
+  SELECT *, CAST(round_even(v, 0) AS INT) AS lvl,
+    (coalesce((rf - mu) * (rf - mu), 0) + coalesce((xgb - mu) * (xgb - mu), 0)
+     + coalesce((lin - mu) * (lin - mu), 0) + coalesce((lstm - mu) * (lstm - mu), 0)) / n AS var
+  FROM val)"""
+
+
+@register("ensemble_confidence", _with_obs(f"""
+SELECT event_id, round_even(v, 2) AS congestion_value, lvl AS congestion_level,
+  {_label_sql('lvl')} AS congestion_label,
+  round_even(least(greatest((
+      (CASE WHEN rf IS NOT NULL AND CAST(round_even(rf, 0) AS INT) = lvl THEN 1 ELSE 0 END
+     + CASE WHEN xgb IS NOT NULL AND CAST(round_even(xgb, 0) AS INT) = lvl THEN 1 ELSE 0 END
+     + CASE WHEN lin IS NOT NULL AND CAST(round_even(lin, 0) AS INT) = lvl THEN 1 ELSE 0 END
+     + CASE WHEN lstm IS NOT NULL AND CAST(round_even(lstm, 0) AS INT) = lvl THEN 1 ELSE 0 END) * 1.0 / n)
+    * (1 - least(CASE WHEN n > 1 THEN var ELSE 0 END, 1) * 0.5), 0), 1), 2) AS confidence,
+  'ensemble' AS model_used
+FROM lv""", _PRED_SQL + "," + _ENS_SQL))
+def q_ensemble_confidence(spark, sf):
+    df = observations(spark, sf)
+    p = _pred_cols()
+    x = df.select("event_id", *[c.alias(f"pred_{n}") for n, c in p.items()])
+    out = M.finish_scores(x, list(p), "ensemble")
+    return out.select("event_id", "congestion_value", "congestion_level", "congestion_label",
+                      "confidence", "model_used")
+
+
+# --- requests (P13) and heuristic scoring (M7 without models) ----------------------
+
+def _requests(spark, sf):
+    e = F.col("event_id")
+    o = observations(spark, sf)
+    wx = C.weather_label("weather_condition")
+    return o.select(
+        "event_id",
+        F.when(e % 7 == 0, F.lit(None)).otherwise(F.col("hour").cast("string")).alias("hour"),
+        F.col("day_of_week").cast("string").alias("day_of_week"),
+        F.col("month").cast("string").alias("month"),
+        F.col("is_weekend").cast("string").alias("is_weekend"),
+        F.when(e % 3 == 0, F.lit(None)).otherwise(F.col("is_rush_hour").cast("string")).alias("is_rush_hour"),
+        F.when(e % 5 == 0, F.lit("n/a")).otherwise(F.col("temperature").cast("string")).alias("temperature"),
+        F.col("humidity").cast("string").alias("humidity"),
+        F.col("precipitation").cast("string").alias("precipitation"),
+        F.col("wind_speed").cast("string").alias("wind_speed"),
+        F.when(e % 9 == 0, F.lit(None)).otherwise(F.col("traffic_volume").cast("string")).alias("traffic_volume"),
+        F.col("avg_speed").cast("string").alias("avg_speed"),
+        F.when(e % 10 == 0, F.lit(None)).when(e % 2 == 0, F.upper(wx))
+        .otherwise(F.concat(F.lit(" "), wx, F.lit(" "))).alias("weather_condition"),
+        F.when(e % 11 == 0, F.lit(None)).otherwise(F.col("location")).alias("location"))
+
+
+_REQ_SQL = """req AS (
+  SELECT event_id,
+    CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(hour AS VARCHAR) END AS hour,
+    CAST(day_of_week AS VARCHAR) AS day_of_week, CAST(month AS VARCHAR) AS month,
+    CAST(is_weekend AS VARCHAR) AS is_weekend,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(is_rush_hour AS VARCHAR) END AS is_rush_hour,
+    CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(temperature AS VARCHAR) END AS temperature,
+    CAST(humidity AS VARCHAR) AS humidity, CAST(precipitation AS VARCHAR) AS precipitation,
+    CAST(wind_speed AS VARCHAR) AS wind_speed,
+    CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(traffic_volume AS VARCHAR) END AS traffic_volume,
+    CAST(avg_speed AS VARCHAR) AS avg_speed,
+    CASE WHEN event_id % 10 = 0 THEN NULL
+         WHEN event_id % 2 = 0 THEN upper(CASE weather_condition WHEN 0 THEN 'Clear' WHEN 1 THEN 'Cloudy'
+              WHEN 2 THEN 'Rainy' WHEN 3 THEN 'Stormy' WHEN 4 THEN 'Foggy' WHEN 5 THEN 'Snowy' END)
+         ELSE ' ' || CASE weather_condition WHEN 0 THEN 'Clear' WHEN 1 THEN 'Cloudy'
+              WHEN 2 THEN 'Rainy' WHEN 3 THEN 'Stormy' WHEN 4 THEN 'Foggy' WHEN 5 THEN 'Snowy' END || ' ' END
+      AS weather_condition,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE location END AS location
+  FROM obs),
+norm AS (
+  SELECT event_id,
+    coalesce(TRY_CAST(hour AS INT), 12) AS hour, coalesce(TRY_CAST(day_of_week AS INT), 0) AS day_of_week,
+    coalesce(TRY_CAST(month AS INT), 1) AS month, coalesce(TRY_CAST(is_weekend AS INT), 0) AS is_weekend,
+    TRY_CAST(is_rush_hour AS INT) AS rush_in,
+    coalesce(TRY_CAST(temperature AS DOUBLE), 25.0) AS temperature,
+    coalesce(TRY_CAST(humidity AS DOUBLE), 60.0) AS humidity,
+    coalesce(TRY_CAST(precipitation AS DOUBLE), 0.0) AS precipitation,
+    coalesce(TRY_CAST(wind_speed AS DOUBLE), 10.0) AS wind_speed,
+    coalesce(TRY_CAST(traffic_volume AS INT), 500) AS traffic_volume,
+    coalesce(TRY_CAST(avg_speed AS INT), 50) AS avg_speed,
+    CASE lower(trim(coalesce(weather_condition, 'Clear'))) WHEN 'clear' THEN 0 WHEN 'cloudy' THEN 1
+      WHEN 'rainy' THEN 2 WHEN 'stormy' THEN 3 WHEN 'foggy' THEN 4 WHEN 'snowy' THEN 5 ELSE 0 END AS weather_condition,
+    coalesce(location, 'Downtown') AS location
+  FROM req),
+normed AS (
+  SELECT * EXCLUDE (rush_in), coalesce(rush_in, CASE WHEN (hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19)
+      AND coalesce(is_weekend, 0) = 0 THEN 1 ELSE 0 END) AS is_rush_hour FROM norm)"""
+
+
+@register("normalise_requests", _with_obs("""
+SELECT event_id, hour, day_of_week, month, is_weekend, is_rush_hour, round(temperature, 6) AS temperature,
+  round(humidity, 6) AS humidity, round(precipitation, 6) AS precipitation, round(wind_speed, 6) AS wind_speed,
+  traffic_volume, avg_speed, weather_condition, location FROM normed""", _REQ_SQL))
+def q_normalise_requests(spark, sf):
+    from .serving import normalise_requests
+    out = normalise_requests(_requests(spark, sf))
+    return out.select("event_id", "hour", "day_of_week", "month", "is_weekend", "is_rush_hour",
+                      _r6("temperature"), _r6("humidity"), _r6("precipitation"), _r6("wind_speed"),
+                      "traffic_volume", "avg_speed", "weather_condition", "location")
+
+
+_H = HEURISTIC_SQL
+
+
+@register("score_heuristic", _with_obs(f"""
+SELECT event_id, round_even({_H}, 2) AS congestion_value, CAST(round_even({_H}, 0) AS INT) AS congestion_level,
+  {_label_sql(f'CAST(round_even({_H}, 0) AS INT)')} AS congestion_label, CAST(0.3 AS DOUBLE) AS confidence,
+  'ensemble' AS model_used
+FROM normed""", _REQ_SQL))
+def q_score_heuristic(spark, sf):
+    from .serving import predict
+    out = predict(_requests(spark, sf), models=None)
+    return out.select("event_id", "congestion_value", "congestion_level", "congestion_label",
+                      "confidence", "model_used")
+
+
+# --- model fits (rows-only: no SQL twin for a fitted model) ------------------------
+
+def _train(spark, sf, models, **kw):
+    from .training import train_all
+    return train_all(observations(spark, sf), models=models, **kw)
+
+
+@register("fit_linear")
+def q_fit_linear(spark, sf):
+    return _train(spark, sf, ("linear_regression",), engineer=False).metrics
+
+
+@register("fit_random_forest")
+def q_fit_random_forest(spark, sf):
+    return _train(spark, sf, ("random_forest",), rf_trees=20, rf_depth=8, engineer=False).metrics
+
+
+@register("fit_boosted_trees")
+def q_fit_boosted_trees(spark, sf):
+    return _train(spark, sf, ("xgboost",), gbt_iter=15, gbt_depth=5, engineer=False).metrics
+
+
+@register("train_all")
+def q_train_all(spark, sf):
+    r = _train(spark, sf, ("random_forest", "xgboost", "linear_regression"),
+               rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=5)
+    return A.metrics_table(r.metrics)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    r = _train(spark, sf, ("random_forest",), rf_trees=20, rf_depth=8, engineer=False)
+    return M.feature_importance(spark, r.models["random_forest"], r.features, 15)
+
+
+@register("score_models")
+def q_score_models(spark, sf):
+    from .serving import predict
+    r = _train(spark, sf, ("random_forest", "linear_regression"), rf_trees=10, rf_depth=6, engineer=False)
+    enc = r.state.encoder
+    out = predict(_requests(spark, sf), r.models, r.scaler, enc, "ensemble", r.features)
+    return out.select("event_id", "congestion_value", "congestion_level", "congestion_label",
+                      "confidence", "model_used", "model_predictions")
+
+
+# --- ST1 batch form ---------------------------------------------------------------------
+
+@register("live_location_summary", _with_obs("""
+SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end,
+  location, round(avg(congestion_level), 6) AS avg_congestion, round(avg(traffic_volume), 6) AS avg_traffic_volume,
+  round(avg(avg_speed), 6) AS avg_speed, count(*) AS samples
+FROM obs GROUP BY 1, 2, location"""))
+def q_live_location_summary(spark, sf):
+    out = live_location_summary(observations(spark, sf))
+    return out.select("window_start", "window_end", "location", _r6("avg_congestion"),
+                      _r6("avg_traffic_volume"), _r6("avg_speed"), "samples")
