@@ -222,10 +222,12 @@ def within_hours_ahead(hour: ColumnOrName, current_hour: int, horizon: int) -> C
 
 
 def round_binary(x: ColumnOrName, digits: int) -> Column:
-    """Half-even rounding of the *binary* value scaled by 10^digits, like
-    numpy / pandas ``round`` (and, outside rare scaling ties, Python's
-    ``round``). ``bround(x, d)`` instead rounds the shortest decimal
-    printout: 1.015 → 1.02, where the reference gives 1.01."""
+    """Half-even rounding of the binary value scaled by 10^digits, exactly
+    as numpy / pandas ``round`` do (multiply, round to even, divide).
+    ``bround(x, d)`` instead rounds the shortest decimal printout:
+    1.015 → 1.02 where numpy gives 1.01. (Python's float ``round`` is
+    correctly rounded and differs from numpy only when the scaling itself
+    lands on a tie, e.g. 2.675.)"""
     if digits == 0:
         return F.bround(_c(x), 0)
     scale = float(10 ** digits)

@@ -158,7 +158,8 @@ def level_distribution(df: DataFrame, mode: str = "floor", value: str = TARGET)
     j = levels.join(F.broadcast(counts), "level", "left").withColumn("count", F.coalesce("n", F.lit(0)))
     total = F.sum("count").over(Window.partitionBy())  # 4 rows
     return j.select("level", level_label("level").alias("label"), "count",
-                    F.coalesce(round_binary(F.col("count") * 100.0 / total, 2), F.lit(0.0)).alias("pct"))
+                    F.coalesce(round_binary(F.try_divide(F.col("count") * 100.0, total), 2),
+                               F.lit(0.0)).alias("pct"))
 
 
 def heatmap(df: DataFrame, value: str = TARGET) -> DataFrame:
@@ -210,11 +211,37 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+TOPK_MAX_ROWS = 100_000
+
+
+def _uniform(id_col: str, seed: int):
+    # 53 high-quality bits of xxhash64(id, seed) → exact double in [0, 1)
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
+
+
 def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) -> DataFrame:
-    """L3: exactly ``min(n, rows)`` rows without replacement, deterministic for
-    a seed: the n smallest ``xxhash64(id, seed)`` (a top-k, not a sort)."""
-    return (df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-            .orderBy("_h", id_col).limit(n).drop("_h"))
+    """L3: exactly ``min(n, rows)`` rows without replacement, deterministic
+    for a seed: the rows with the n smallest ``(u, id)``, u a uniform draw
+    hashed from (id, seed).
+
+    Small n: top-k (TakeOrderedAndProject keeps n rows per task). Large n:
+    the n-th smallest u is found exactly by distributed histogram
+    refinement and the sample is a plain filter, so no task ever buffers n
+    rows."""
+    x = df.withColumn("_u", _uniform(id_col, seed))
+    if n <= TOPK_MAX_ROWS:
+        return x.orderBy("_u", id_col).limit(n).drop("_u")
+    from .quantiles import order_statistics
+    total = df.count()
+    if n >= total:
+        return df
+    t = order_statistics(x, [("_u", n - 1)])[("_u", n - 1)]
+    below = x.filter(F.col("_u") < F.lit(t))
+    taken = below.count()
+    # rows sharing the threshold draw (a handful at most) are cut by id
+    tie = x.filter(F.col("_u") == F.lit(t)).orderBy(id_col).limit(n - taken)
+    return below.unionByName(tie).drop("_u")
 
 
 def top_k(df: DataFrame, by: str, k: int, ascending: bool = False) -> DataFrame:

@@ -23,8 +23,7 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "csv",
     if fmt == "csv":
         df = (spark.read.schema(schema).option("header", True)
               .option("mode", "PERMISSIVE").option("nanValue", "NaN")
-              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-              .csv(path))
+              .csv(path))  # default NTZ parsing accepts "2024-01-01 08:00:00[.ffffff]" and ISO "T"
     elif fmt == "parquet":
         df = spark.read.schema(schema).parquet(path)
     else:
@@ -41,7 +40,7 @@ def write_observations(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     else:
         w.format(fmt).save(path)
 

@@ -31,12 +31,15 @@ def live_location_summary(obs: DataFrame, window: str = "1 hour", watermark: str
                     "location", "avg_congestion", "avg_traffic_volume", "avg_speed", "samples")
 
 
-def read_observation_stream(spark, events_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Observation stream over a folder of ``events`` parquet files."""
+def read_observation_stream(spark, source_dir: str, name_glob: str = "events*.parquet",
+                            max_files_per_trigger: int = 1) -> DataFrame:
+    """Observation stream over the ``events`` parquet files arriving in
+    ``source_dir`` (file sources watch a folder; ``name_glob`` selects the
+    files of the events table)."""
     from ..sources.tables import observations_from_events
-    schema = spark.read.parquet(events_dir).schema
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(events_dir))
+    schema = spark.read.option("pathGlobFilter", name_glob).parquet(source_dir).schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+          .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
     return observations_from_events(ev)
 
 
