@@ -245,3 +245,34 @@ SELECT round(avg(congestion_level), 6) AS avg_congestion,
   least(round(avg(congestion_level) / 3 * 100, 0), 100.0) AS congestion_rate_pct FROM obs"""))
 def q_congestion_gauge(spark, sf):
     return A.congestion_gauge(observations(spark, sf)).select(_r6("avg_congestion"), "congestion_rate_pct")
+
+
+_DESC_COLS = ["congestion_level", "traffic_volume", "temperature", "precipitation"]
+
+
+@register("describe", _with_obs("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, "
+    f"round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+    f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+    f"round(quantile_cont({c}, 0.75), 6) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM obs"
+    for c in _DESC_COLS)))
+def q_describe(spark, sf):
+    d = A.describe(observations(spark, sf), _DESC_COLS)
+    return d.select("column", "count", _r6("mean"), _r6("std"), "min", _r6("q25"), _r6("q50"),
+                    _r6("q75"), "max")
+
+
+@register("missing_count", _with_obs("""
+SELECT count(*) FILTER (WHERE event_id IS NULL) AS event_id,
+  count(*) FILTER (WHERE traffic_volume IS NULL) AS traffic_volume,
+  count(*) FILTER (WHERE temperature IS NULL) AS temperature,
+  count(*) FILTER (WHERE location IS NULL) AS location,
+  count(*) FILTER (WHERE traffic_volume IS NULL) + count(*) FILTER (WHERE temperature IS NULL)
+    + count(*) FILTER (WHERE location IS NULL) + count(*) FILTER (WHERE event_id IS NULL) AS total_missing
+FROM (SELECT event_id,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE traffic_volume END AS traffic_volume,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE temperature END AS temperature,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE location END AS location FROM obs)"""))
+def q_missing_count(spark, sf):
+    from .catalog_features import _nulled
+    return A.missing_count(_nulled(spark, sf))
