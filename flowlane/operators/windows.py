@@ -65,13 +65,10 @@ def _apply_windows(df: DataFrame, stages: list[Builder], partition_by: str | Non
     chunk_rows = max(int(chunk_rows), int(lookback), 1)
     keys = ([partition_by] if partition_by else []) + order
     numbered = global_row_number(df, keys, "_rn")
-    chunk = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("long")
-    pos = F.pmod(F.col("_rn") - 1, F.lit(chunk_rows))
-    own = F.struct(chunk.alias("c"), F.lit(False).alias("halo"))
-    nxt = F.struct((chunk + 1).alias("c"), F.lit(True).alias("halo"))
-    copies = F.when(pos >= chunk_rows - lookback, F.array(own, nxt)).otherwise(F.array(own))
-    expanded = numbered.select("*", F.explode(copies).alias("_k")).select(
-        *numbered.columns, F.col("_k.c").alias("_chunk"), F.col("_k.halo").alias("_halo"))
+    expanded = _with_halo(
+        numbered,
+        F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("long"),
+        F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - lookback)
     parts = ([partition_by] if partition_by else []) + ["_chunk"]
     spec = Window.partitionBy(*parts).orderBy("_rn")
     out = expanded
@@ -80,8 +77,24 @@ def _apply_windows(df: DataFrame, stages: list[Builder], partition_by: str | Non
     return out.filter(~F.col("_halo")).drop("_chunk", "_halo", "_rn")
 
 
+def _with_halo(df: DataFrame, chunk: Column, near_end: Column) -> DataFrame:
+    """Every row once in its own chunk (``_halo`` false) and, when it lies
+    near the chunk end, once more in the next chunk (``_halo`` true).
+    ``stack`` + filter keeps this inside whole-stage codegen."""
+    x = df.select("*", chunk.alias("_c0"), near_end.alias("_ne"))
+    copies = x.select(*df.columns, "_ne", F.expr(
+        "stack(2, _c0, false, _c0 + 1, true) AS (_chunk, _halo)"))
+    return copies.filter(~F.col("_halo") | F.col("_ne")).drop("_ne")
+
+
 # --- W1 ------------------------------------------------------------------------
 
+def lag_stage(columns: list[str], lags: list[int]) -> Builder:
+    def build(spec):
+        return [(f"{c}_lag_{k}h", F.lag(c, k).over(spec)) for c in columns for k in lags]
+    return build
+
+
 def lag_features(df: DataFrame, columns: list[str] | None = None, lags: list[int] | None = None,
                  partition_by: str | None = "location", order: list[str] | None = None,
                  **kw) -> DataFrame:
@@ -90,10 +103,7 @@ def lag_features(df: DataFrame, columns: list[str] | None = None, lags: list[int
     columns = [c for c in (columns or DEFAULT_COLUMNS) if c in df.columns]
     lags = lags or DEFAULT_LAGS
     order = order or ["timestamp", ROW_ID]
-
-    def build(spec):
-        return [(f"{c}_lag_{k}h", F.lag(c, k).over(spec)) for c in columns for k in lags]
-    return _apply_windows(df, [build], partition_by, order, max(lags), **kw)
+    return _apply_windows(df, [lag_stage(columns, lags)], partition_by, order, max(lags), **kw)
 
 
 # --- W2 ------------------------------------------------------------------------
@@ -120,20 +130,17 @@ def rolling_features(df: DataFrame, columns: list[str] | None = None,
     columns = [c for c in (columns or DEFAULT_COLUMNS) if c in df.columns]
     windows = windows or DEFAULT_WINDOWS
     order = order or ["timestamp", ROW_ID]
-    return _apply_windows(df, [lambda s: _rolling_cols(columns, windows, s)], partition_by,
+    return _apply_windows(df, [rolling_stage(columns, windows)], partition_by,
                           order, max(windows) - 1, **kw)
 
 
-# --- W3 ------------------------------------------------------------------------
+def rolling_stage(columns: list[str], windows: list[int]) -> Builder:
+    return lambda spec: _rolling_cols(columns, windows, spec)
 
-def congestion_trend(df: DataFrame, window: int = 6, value: str = TARGET,
-                     partition_by: str | None = "location", order: list[str] | None = None,
-                     **kw) -> DataFrame:
-    """s = rolling mean (``window`` rows, min 1); d = s - previous s;
-    trend = 1 if d > .1, -1 if d < -.1, else 0; acceleration = d - previous
-    d (null → 0)."""
-    order = order or ["timestamp", ROW_ID]
 
+# --- W3 ------------------------------------------------------------------------
+
+def trend_stages(window: int = 6, value: str = TARGET) -> list[Builder]:
     def smooth(spec):
         return [("_s", F.avg(value).over(spec.rowsBetween(-(window - 1), 0)))]
 
@@ -144,10 +151,28 @@ def congestion_trend(df: DataFrame, window: int = 6, value: str = TARGET,
         d = F.col("_d")
         return [("congestion_trend", F.when(d > 0.1, 1).when(d < -0.1, -1).otherwise(0)),
                 ("congestion_acceleration", F.coalesce(d - F.lag(d, 1).over(spec), F.lit(0.0)))]
-    out = _apply_windows(df, [smooth, diff, trend], partition_by, order, window + 1, **kw)
+    return [smooth, diff, trend]
+
+
+def congestion_trend(df: DataFrame, window: int = 6, value: str = TARGET,
+                     partition_by: str | None = "location", order: list[str] | None = None,
+                     **kw) -> DataFrame:
+    """s = rolling mean (``window`` rows, min 1); d = s - previous s;
+    trend = 1 if d > .1, -1 if d < -.1, else 0; acceleration = d - previous
+    d (null → 0)."""
+    order = order or ["timestamp", ROW_ID]
+    out = _apply_windows(df, trend_stages(window, value), partition_by, order, window + 1, **kw)
     return out.drop("_s", "_d")
 
 
+def fused_windows(df: DataFrame, stages: list[Builder], lookback: int,
+                  partition_by: str | None = "location", order: list[str] | None = None,
+                  **kw) -> DataFrame:
+    """Run several window stages over ONE partitioning / ordering (one skew
+    check, one numbering, one Exchange + Sort)."""
+    return _apply_windows(df, stages, partition_by, order or ["timestamp", ROW_ID], lookback, **kw)
+
+
 # --- W2t: clock-true rolling ---------------------------------------------------
 
 def epoch_micros(ts: str | Column) -> Column:
@@ -175,12 +200,8 @@ def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[in
     e = epoch_micros(ts)
     base = df.withColumn("_e", e)
     chunk = F.floor(F.col("_e") / F.lit(chunk_us)).cast("long")
-    own = F.struct(chunk.alias("c"), F.lit(False).alias("halo"))
-    nxt = F.struct((chunk + 1).alias("c"), F.lit(True).alias("halo"))
     near_end = F.col("_e") >= (chunk + 1) * F.lit(chunk_us) - F.lit(look_us)
-    copies = F.when(near_end, F.array(own, nxt)).otherwise(F.array(own))
-    x = base.select("*", F.explode(copies).alias("_k")).select(
-        *base.columns, F.col("_k.c").alias("_chunk"), F.col("_k.halo").alias("_halo"))
+    x = _with_halo(base, chunk, near_end)
     spec = Window.partitionBy(partition_by, "_chunk").orderBy("_e")
     new = {}
     for c in columns:
