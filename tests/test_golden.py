@@ -139,3 +139,26 @@ def test_improvement_pct(spark):
     from flowlane.operators.profiles import optimal_times
     got = {r["location"]: r["improvement_pct"] for r in optimal_times(df).collect()}
     assert got == {"A": 75.0, "B": 100.0}
+
+
+def test_location_code_fallback_stable(spark):
+    df = spark.createDataFrame([("Downtown",), ("Nowhere",), ("Downtown",)], "location string")
+    codes = [r[0] for r in df.select(C.location_code_fallback("location")).collect()]
+    assert codes[0] == codes[2] and all(0 <= c < 100 for c in codes)
+
+
+def test_hourly_multiplier_values(spark):
+    df = spark.createDataFrame([(8, 0), (8, 1), (3, 0), (21, 0), (12, 0)], "hour int, is_weekend int")
+    got = [round(r[0], 6) for r in df.select(C.hourly_multiplier()).collect()]
+    want = [1.0 + 0.2 * math.sin(math.pi * 1 / 2), 0.7, 0.1, 0.4, 0.6 + 0.1 * math.sin(math.pi * 2 / 5)]
+    assert got == [round(w, 6) for w in want]
+
+
+def test_rule_score_boundaries(spark):
+    # volume 1000 is not > 1000, speed 20 is not < 20, hour 5 counts as night
+    rows = [(5, 0, 0, 1000, 20, 0, 0.0, 20.0, "Residential_A")]
+    df = spark.createDataFrame(rows, "hour int, is_weekend int, is_rush_hour int, traffic_volume int, "
+                                     "avg_speed int, weather_condition int, precipitation double, "
+                                     "temperature double, location string")
+    v = df.select(C.congestion_score_rule()).first()[0]
+    assert v == round(0.3 - 0.2 + 0.25 + 0.3 - 0.1, 2)
