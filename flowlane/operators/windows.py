@@ -216,8 +216,38 @@ def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[in
 
 # --- W4 ------------------------------------------------------------------------
 
+def bin_of_rank(r: int, n: int, q: int) -> int:
+    """W4 formula for one rank (1-based) — used to size strata on the driver
+    without another pass over the data."""
+    if n <= 1:
+        return 0
+    return max(0, ((r - 1) * q + n - 2) // (n - 1) - 1)
+
+
+def bin_sizes(n: int, q: int) -> dict[int, int]:
+    """Rows per W4 bin for n ranked rows, in closed form (O(q) work)."""
+    if n <= 0:
+        return {}
+    sizes: dict[int, int] = {}
+    # bin b holds ranks r with ceil((r-1)q/(n-1)) - 1 == b; walk bin edges
+    edges = [0] + [((b + 1) * (n - 1)) // q + 1 for b in range(q)]
+    prev = 0
+    for b in range(q):
+        last = min(n, edges[b + 1])
+        while last < n and bin_of_rank(last + 1, n, q) <= b:
+            last += 1
+        while last > prev and bin_of_rank(last, n, q) > b:
+            last -= 1
+        if last > prev:
+            sizes[bin_of_rank(prev + 1, n, q)] = sizes.get(bin_of_rank(prev + 1, n, q), 0) + last - prev
+        prev = last
+    if prev < n:
+        sizes[q - 1] = sizes.get(q - 1, 0) + n - prev
+    return sizes
+
+
 def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin",
-                  id_col: str = ROW_ID) -> DataFrame:
+                  id_col: str = ROW_ID, n: int | None = None) -> DataFrame:
     """Equal-count bins of the first-occurrence rank of ``col``
     (rank ties broken by row id): bin = max(0, ceil((r-1)·q/(n-1)) - 1),
     computed in exact integer arithmetic; n = 1 gives bin 0.
@@ -225,7 +255,8 @@ def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin
     Not ``ntile`` (different edges). The rank is exact and distributed
     (``global_row_number``)."""
     ranked = global_row_number(df, [F.col(col).asc_nulls_last(), F.col(id_col)], "_r")
-    n = df.filter(F.col(col).isNotNull()).count()
+    if n is None:
+        n = df.filter(F.col(col).isNotNull()).count()
     if n <= 1:
         return ranked.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0))).drop("_r")
     ceil_div = F.expr(f"CAST(((_r - 1) * {int(q)} + {n - 2}) div {n - 1} AS INT)")
