@@ -100,3 +100,42 @@ def test_score_stream_writes(spark, tmpdir_path):
     out = spark.read.parquet(os.path.join(tmpdir_path, "scored"))
     assert out.count() == 1000
     assert out.filter(~F.col("congestion_value").between(0, 3)).count() == 0
+
+
+def test_stream_drops_rows_behind_watermark(spark, tmpdir_path):
+    """ST1 append mode: a window is emitted once the watermark passes its end;
+    rows arriving later for an already-closed window are dropped."""
+    import datetime as dt
+    from flowlane.sources.tables import observations_from_events
+    src = os.path.join(tmpdir_path, "in")
+    out = os.path.join(tmpdir_path, "out")
+    ck = os.path.join(tmpdir_path, "ck_late")
+    os.makedirs(src)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t0 = dt.datetime(2024, 1, 2)
+
+    def write_batch(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
+
+    def run():
+        ev = spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+        q = (live_location_summary(observations_from_events(ev), watermark="1 hour")
+             .writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    # batch 1: hours 1 and 5 for user 0 (one location) → watermark ≈ 04:00
+    write_batch("b1", [(1, t0 + dt.timedelta(hours=1, minutes=5), 0, "v", 1.0, None),
+                       (2, t0 + dt.timedelta(hours=5, minutes=5), 0, "v", 1.0, None)])
+    run()
+    # batch 2: a late row for hour 1 (window already closed) and a row at hour 9
+    write_batch("b2", [(3, t0 + dt.timedelta(hours=1, minutes=30), 0, "v", 1.0, None),
+                       (4, t0 + dt.timedelta(hours=9, minutes=5), 0, "v", 1.0, None)])
+    run()
+    # batch 3: moves the watermark past 05:00 and 09:00 windows
+    write_batch("b3", [(5, t0 + dt.timedelta(hours=20), 0, "v", 1.0, None)])
+    run()
+    got = {r["window_start"].hour: r["samples"] for r in spark.read.parquet(out).collect()}
+    assert got[1] == 1          # the late row (event 3) was dropped
+    assert got[5] == 1 and got[9] == 1
+    assert 20 not in got        # still open: never emitted in append mode
