@@ -176,11 +176,12 @@ def hourly_band(df: DataFrame, value: str = TARGET) -> DataFrame:
                     (F.col("mean") - F.col("std")).alias("lower"))
 
 
-def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None,
+             accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact interpolated quartiles and
     max per column, long format (one row per column). Moments come from one
     aggregate; quartiles from the distributed exact order statistics."""
-    from .quantiles import exact_quantiles
+    from .quantiles import quantiles
     cols = columns or [TARGET]
     aggs = []
     for c in cols:
@@ -188,7 +189,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                  F.stddev_samp(c).alias(f"std_{c}"), F.min(F.col(c).cast("double")).alias(f"min_{c}"),
                  F.max(F.col(c).cast("double")).alias(f"max_{c}")]
     m = df.agg(*aggs).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
     rows = [(c, m[f"n_{c}"], m[f"mean_{c}"], m[f"std_{c}"], m[f"min_{c}"], *q[c], m[f"max_{c}"])
             for c in cols]
     return df.sparkSession.createDataFrame(

@@ -111,3 +111,16 @@ def test_exact_quantiles_match_numpy(spark):
     assert np.allclose(q["x"], np.quantile(vals, probs))
     assert q["k"] == [7.0] * len(probs)
     assert q["z"] == [None] * len(probs)
+
+
+def test_approx_switch_close_to_exact(spark):
+    from flowlane.operators.quantiles import quantiles
+    rng = np.random.default_rng(5)
+    vals = rng.normal(10, 3, 5000)
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    exact = quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]
+    approx = quantiles(df, ["x"], [0.25, 0.5, 0.75], accuracy=10000)["x"]
+    assert np.allclose(exact, np.quantile(vals, [0.25, 0.5, 0.75]))
+    for p, a in zip([0.25, 0.5, 0.75], approx):
+        rank = (vals <= a).mean()
+        assert abs(rank - p) <= 1e-3 + 1 / 5000
