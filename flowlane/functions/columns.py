@@ -232,3 +232,10 @@ def round_binary(x: ColumnOrName, digits: int) -> Column:
         return F.bround(_c(x), 0)
     scale = float(10 ** digits)
     return F.bround(_c(x) * F.lit(scale), 0) / F.lit(scale)
+
+
+def uniform_draw(id_col: ColumnOrName, seed: int) -> Column:
+    """Deterministic uniform draw in [0, 1) per row: the top 53 bits of
+    ``xxhash64(id, seed)`` as an exact double (sampling / split order)."""
+    h = F.xxhash64(_c(id_col), F.lit(seed))
+    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)

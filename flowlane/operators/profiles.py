@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import (congestion_rate_pct, level, level_label, round_binary,
-                                 time_slot, within_hours_ahead)
+                                 time_slot, uniform_draw, within_hours_ahead)
 from ..schema import LEVEL_LABELS, ROW_ID, TARGET
 
 
@@ -235,12 +235,6 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 TOPK_MAX_ROWS = 100_000
 
 
-def _uniform(id_col: str, seed: int):
-    # 53 high-quality bits of xxhash64(id, seed) → exact double in [0, 1)
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
-
-
 def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) -> DataFrame:
     """L3: exactly ``min(n, rows)`` rows without replacement, deterministic
     for a seed: the rows with the n smallest ``(u, id)``, u a uniform draw
@@ -250,7 +244,7 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) ->
     the n-th smallest u is found exactly by distributed histogram
     refinement and the sample is a plain filter, so no task ever buffers n
     rows."""
-    x = df.withColumn("_u", _uniform(id_col, seed))
+    x = df.withColumn("_u", uniform_draw(id_col, seed))
     if n <= TOPK_MAX_ROWS:
         return x.orderBy("_u", id_col).limit(n).drop("_u")
     from .quantiles import order_statistics

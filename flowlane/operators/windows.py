@@ -246,19 +246,82 @@ def bin_sizes(n: int, q: int) -> dict[int, int]:
     return sizes
 
 
+def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
+                   n: int | None = None) -> tuple[list[int], list, int]:
+    """W4 boundaries: the present bin ids, and for every bin but the last the
+    (value, id) of its last row in (value, id) order, plus n. Found by exact
+    distributed selection: the value is an order statistic of ``col``; when
+    it repeats, the id is an order statistic of the id among the rows
+    holding that value. Rows with a null ``col`` take no part. One bounds
+    pass (count, min/max of value and id) seeds every bracket."""
+    from .quantiles import select_ranks
+    v = F.col(col).cast("double")
+    i = F.col(id_col).cast("double")
+    r0 = df.agg(F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+                F.min(F.when(v.isNotNull(), i)).alias("imn"),
+                F.max(F.when(v.isNotNull(), i)).alias("imx")).first()
+    n = r0["n"] if n is None else n
+    sizes = bin_sizes(n, q)
+    present = sorted(sizes)
+    last_rank, cum = [], 0
+    for b in present[:-1]:
+        cum += sizes[b]
+        last_rank.append(cum)  # 1-based rank of the last row of bin b
+    if not last_rank:
+        return present, [], n
+    vals = select_ranks(df.select(v.alias("_v")), [("_v", r - 1) for r in last_rank],
+                        bounds={"mn__v": r0["mn"], "mx__v": r0["mx"]})
+    bvals = [vals[("_v", r - 1)] for r in last_rank]
+    # a boundary inside a run of equal values needs the id of its row; one at
+    # the end of the run (or on a unique value) does not
+    need = [j for j, (r, (_bv, below, n_eq)) in enumerate(zip(last_rank, bvals))
+            if n_eq is None or r - 1 - below != n_eq - 1]
+    bids: dict[int, int | None] = {j: None for j in range(len(bvals))}
+    if need:
+        ties = df.select(*[F.when(v == F.lit(bvals[j][0]), i).alias(f"_i{j}") for j in need])
+        reqs = {j: (f"_i{j}", last_rank[j] - 1 - bvals[j][1]) for j in need}
+        tb = {}
+        for j in need:
+            tb[f"mn__i{j}"], tb[f"mx__i{j}"] = r0["imn"], r0["imx"]
+        ids = select_ranks(ties, list(reqs.values()), bounds=tb)
+        for j, req in reqs.items():
+            bids[j] = int(ids[req][0])
+    return present, [(bvals[j][0], bids[j]) for j in range(len(bvals))], n
+
+
+def bin_expr(value: Column, row_id: Column, present: list[int], bounds: list) -> Column:
+    """Bin of a row = the number of boundaries its (value, id) lies after,
+    mapped onto the present bin ids (a narrow, literal-only expression)."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(present[0]))
+    passed = None
+    for bv, bid in bounds:
+        after = value > F.lit(bv)
+        if bid is not None:  # boundary inside a run of equal values: split it by id
+            after = after | ((value == F.lit(bv)) & (row_id > F.lit(bid)))
+        term = F.when(after, F.lit(1)).otherwise(F.lit(0))
+        passed = term if passed is None else passed + term
+    if present == list(range(len(present))):
+        mapped = passed
+    else:
+        mapped = F.element_at(F.create_map(*[x for k, b in enumerate(present)
+                                             for x in (F.lit(k), F.lit(b))]), passed)
+    return F.when(value.isNotNull(), mapped).cast("int")
+
+
 def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin",
                   id_col: str = ROW_ID, n: int | None = None) -> DataFrame:
     """Equal-count bins of the first-occurrence rank of ``col``
     (rank ties broken by row id): bin = max(0, ceil((r-1)·q/(n-1)) - 1),
-    computed in exact integer arithmetic; n = 1 gives bin 0.
-
-    Not ``ntile`` (different edges). The rank is exact and distributed
-    (``global_row_number``)."""
-    ranked = global_row_number(df, [F.col(col).asc_nulls_last(), F.col(id_col)], "_r")
-    if n is None:
-        n = df.filter(F.col(col).isNotNull()).count()
+    in exact integer arithmetic; n = 1 gives bin 0. Not ``ntile``.
+
+    No sort and no shuffle of the rows: bins are contiguous in (value, id)
+    order, so only the ≤ q-1 boundary rows are located (``bin_boundaries``,
+    column-pruned selection passes) and each row compares itself with them
+    in a narrow projection."""
+    v = F.col(col)
+    present, bounds, n = bin_boundaries(df, col, id_col, q, n)
     if n <= 1:
-        return ranked.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0))).drop("_r")
-    ceil_div = F.expr(f"CAST(((_r - 1) * {int(q)} + {n - 2}) div {n - 1} AS INT)")
-    b = F.when(F.col(col).isNull(), F.lit(None)).otherwise(F.greatest(ceil_div - 1, F.lit(0)))
-    return ranked.withColumn(out, b.cast("int")).drop("_r")
+        return df.withColumn(out, F.when(v.isNotNull(), F.lit(0)))
+    present, bounds, _n = bin_boundaries(df, col, id_col, q, n)
+    return df.withColumn(out, bin_expr(v.cast("double"), F.col(id_col), present, bounds))
