@@ -183,35 +183,132 @@ def epoch_micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, t.cast("timestamp_ntz"))
 
 
+HOUR_US = 3600 * 1_000_000
+MAX_BLOCK_ROWS = 1_000_000
+MAX_BLOCK_SPLITS = 6  # blocks no shorter than 1/64 h (56.25 s)
+
+
+def time_block_us(df: DataFrame, partition_by: str, ts: str = "timestamp",
+                  max_block_rows: int = MAX_BLOCK_ROWS) -> int:
+    """Block width for ``rolling_time``: one hour, halved until the densest
+    (key, hour) is expected to fit ``max_block_rows`` per block. One
+    aggregate; the width always divides an hour, so every window of whole
+    hours spans a whole number of blocks."""
+    e = epoch_micros(ts)
+    hour = (e - F.pmod(e, F.lit(HOUR_US))) / F.lit(HOUR_US)
+    densest = df.groupBy(F.col(partition_by), hour.alias("_h")).count().agg(F.max("count")).first()[0]
+    j = 0
+    while j < MAX_BLOCK_SPLITS and (densest or 0) > max_block_rows * (1 << j):
+        j += 1
+    return HOUR_US >> j
+
+
 def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[int] | None = None,
                  partition_by: str = "location", ts: str = "timestamp",
-                 chunk_hours: int = 24) -> DataFrame:
-    """W2t: statistics over the last k hours by clock, (ts - k h, ts].
-
-    Skew-safe by construction: rows are split into (location, time chunk)
-    window partitions; rows within ``max(hours)`` of the next chunk start
-    are copied into that chunk as a halo and dropped after the window.
+                 block_us: int | None = None, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """W2t: mean / max / min / count over the last k hours by clock,
+    ``(ts - k h, ts]`` per ``partition_by`` (peers at ``ts`` included).
+
+    Exact block decomposition instead of a sliding RANGE frame (which Spark
+    re-aggregates over the whole frame for every row, and which needs all of
+    a key's rows of the last k hours in one task). Time is cut into blocks of
+    ``block_us`` (dividing an hour). For a row at t in block b the window is
+
+    * tail: rows of block b up to t — a running aggregate over the block;
+    * full: blocks b-k/B+1 … b-1 — a per-(key, block) pre-aggregate (one row
+      per block, not per event) summed over a block-range window;
+    * head: rows of block b-k/B later than t - k h — every row is also copied
+      into block b+k/B with its time shifted by +k h, so the head is a
+      reverse running aggregate over those copies in the same partition.
+
+    Each (key, block) window partition holds one block of rows plus one copy
+    per window length, so task size is bounded by the block width, which
+    ``time_block_us`` fits to the densest key; all frames are running
+    frames (O(1) per row).
     """
     columns = [c for c in (columns or DEFAULT_COLUMNS) if c in df.columns]
-    hours = hours or [3, 24]
-    hour_us = 3600 * 1_000_000
-    chunk_us = max(int(chunk_hours), max(hours)) * hour_us
-    look_us = max(hours) * hour_us
+    hours = sorted({int(k) for k in (hours or [3, 24])})
+    if hours[0] < 1:
+        raise ValueError("window lengths are whole hours ≥ 1")
+    if block_us is None:
+        block_us = time_block_us(df, partition_by, ts, max_block_rows)
+    if HOUR_US % block_us:
+        raise ValueError("block width must divide one hour")
+    nblk = {k: k * HOUR_US // block_us for k in hours}
     e = epoch_micros(ts)
-    base = df.withColumn("_e", e)
-    chunk = F.floor(F.col("_e") / F.lit(chunk_us)).cast("long")
-    near_end = F.col("_e") >= (chunk + 1) * F.lit(chunk_us) - F.lit(look_us)
-    x = _with_halo(base, chunk, near_end)
-    spec = Window.partitionBy(partition_by, "_chunk").orderBy("_e")
-    new = {}
+    base = df.select("*", F.col(partition_by).alias("_k"), e.alias("_e"),
+                     ((e - F.pmod(e, F.lit(block_us))) / F.lit(block_us)).cast("long").alias("_b"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    payload = ", ".join(f"`{c}`" for c in df.columns)
+
+    # own row + one shifted copy per window length, in one codegen'd stack
+    def row(kind, blk, s, p, own, k=None):
+        vals = []
+        for c in columns:
+            vals.append(f"`{c}`" if own else f"CAST(NULL AS {types[c]})")
+            vals += [f"`{c}`" if kk == k else f"CAST(NULL AS {types[c]})" for kk in hours]
+        return ", ".join([str(kind), blk, s, p] + vals)
+
+    stacked = [row(0, "_b", "_e", "_p", True)]
+    stacked += [row(1, f"_b + {nblk[k]}", f"_e + {k * HOUR_US}", "IF(FALSE, _p, NULL)", False, k)
+                for k in hours]
+    names = ["_kind", "_pb", "_s", "_p"]
+    for c in columns:
+        names += [f"_o_{c}"] + [f"_c_{c}_{k}" for k in hours]
+    x = (base.select("_k", "_b", "_e", F.expr(f"struct({payload}) AS _p"), *[f"`{c}`" for c in columns])
+         .select("_k", F.expr(f"stack({len(stacked)}, {', '.join(stacked)}) AS ({', '.join(names)})")))
+
+    part = Window.partitionBy("_k", "_pb")
+    tail = part.orderBy("_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # descending time, own rows (kind 0) before copies at the same instant:
+    # a copy at shifted time t is an original at t - k h, outside (t - k h, t]
+    head = part.orderBy(F.col("_s").desc(), "_kind").rowsBetween(Window.unboundedPreceding,
+                                                                 Window.currentRow)
+    agg = {}
+    for c in columns:
+        o = F.col(f"_o_{c}")
+        agg.update({f"_ts_{c}": F.sum(o).over(tail), f"_tn_{c}": F.count(o).over(tail),
+                    f"_tx_{c}": F.max(o).over(tail), f"_tm_{c}": F.min(o).over(tail)})
+        for k in hours:
+            h = F.col(f"_c_{c}_{k}")
+            agg.update({f"_hs_{c}_{k}": F.sum(h).over(head), f"_hn_{c}_{k}": F.count(h).over(head),
+                        f"_hx_{c}_{k}": F.max(h).over(head), f"_hm_{c}_{k}": F.min(h).over(head)})
+    rows = x.withColumns(agg).filter(F.col("_kind") == 0)
+
+    # full blocks: one row per (key, block), windowed over block numbers
+    blocks = base.groupBy("_k", "_b").agg(*[a for c in columns for a in (
+        F.sum(c).alias(f"_bs_{c}"), F.count(c).alias(f"_bn_{c}"),
+        F.max(c).alias(f"_bx_{c}"), F.min(c).alias(f"_bm_{c}"))])
+    full = {}
+    for k in hours:
+        if nblk[k] < 2:
+            continue
+        bw = Window.partitionBy("_k").orderBy("_b").rangeBetween(-(nblk[k] - 1), -1)
+        for c in columns:
+            full.update({f"_fs_{c}_{k}": F.sum(f"_bs_{c}").over(bw),
+                         f"_fn_{c}_{k}": F.sum(f"_bn_{c}").over(bw),
+                         f"_fx_{c}_{k}": F.max(f"_bx_{c}").over(bw),
+                         f"_fm_{c}_{k}": F.min(f"_bm_{c}").over(bw)})
+    if full:
+        rows = rows.join(blocks.select("_k", F.col("_b").alias("_pb"), *[v.alias(n) for n, v in full.items()]),
+                         ["_k", "_pb"], "left")
+
+    def part_of(name):
+        return F.col(name) if name in full else F.lit(None)
+
+    out = {}
     for c in columns:
         for k in hours:
-            w = spec.rangeBetween(-(k * hour_us - 1), 0)
-            new[f"{c}_time_mean_{k}h"] = F.avg(c).over(w)
-            new[f"{c}_time_max_{k}h"] = F.max(c).over(w)
-            new[f"{c}_time_min_{k}h"] = F.min(c).over(w)
-            new[f"{c}_time_count_{k}h"] = F.count(c).over(w)
-    return x.withColumns(new).filter(~F.col("_halo")).drop("_chunk", "_halo", "_e")
+            tot = (F.coalesce(F.col(f"_ts_{c}"), F.lit(0)) + F.coalesce(F.col(f"_hs_{c}_{k}"), F.lit(0))
+                   + F.coalesce(part_of(f"_fs_{c}_{k}"), F.lit(0)))
+            n = F.col(f"_tn_{c}") + F.col(f"_hn_{c}_{k}") + F.coalesce(part_of(f"_fn_{c}_{k}"), F.lit(0))
+            out[f"{c}_time_mean_{k}h"] = F.when(n > 0, tot.cast("double") / n)
+            out[f"{c}_time_max_{k}h"] = F.greatest(F.col(f"_tx_{c}"), F.col(f"_hx_{c}_{k}"),
+                                                   part_of(f"_fx_{c}_{k}").cast(types[c]))
+            out[f"{c}_time_min_{k}h"] = F.least(F.col(f"_tm_{c}"), F.col(f"_hm_{c}_{k}"),
+                                                part_of(f"_fm_{c}_{k}").cast(types[c]))
+            out[f"{c}_time_count_{k}h"] = n.cast("long")
+    return rows.select("_p.*", *[v.alias(n) for n, v in out.items()])
 
 
 # --- W4 ------------------------------------------------------------------------
@@ -323,5 +420,4 @@ def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin
     present, bounds, n = bin_boundaries(df, col, id_col, q, n)
     if n <= 1:
         return df.withColumn(out, F.when(v.isNotNull(), F.lit(0)))
-    present, bounds, _n = bin_boundaries(df, col, id_col, q, n)
     return df.withColumn(out, bin_expr(v.cast("double"), F.col(id_col), present, bounds))

@@ -83,22 +83,38 @@ def test_frame_order_matches_pandas(spark):
     assert np.allclose(m["avg_speed_rolling_mean_3h"], m["m"])
 
 
-def test_rolling_time_matches_bruteforce(spark):
+@pytest.mark.parametrize("block_us", [None, W.HOUR_US, W.HOUR_US // 4, W.HOUR_US // 64])
+def test_rolling_time_matches_bruteforce(spark, block_us):
     df, pdf = _skewed(spark, n=600)
-    out = W.rolling_time(df, columns=["traffic_volume"], hours=[3, 24], chunk_hours=24).toPandas()
-    p = pdf.copy()
+    # duplicate instants: peers at t are inside the window, t - k h is not
+    dup = pdf.iloc[:40].copy()
+    dup["event_id"] += 10_000
+    dup["timestamp"] = pdf["timestamp"].iloc[40:80].values
+    dup["location"] = pdf["location"].iloc[40:80].values
+    edge = pdf.iloc[80:100].copy()
+    edge["event_id"] += 20_000
+    edge["timestamp"] = pdf["timestamp"].iloc[100:120].values - np.timedelta64(3, "h")
+    edge["location"] = pdf["location"].iloc[100:120].values
+    pdf = pd.concat([pdf, dup, edge], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    out = W.rolling_time(df, columns=["traffic_volume"], hours=[3, 24],
+                         block_us=block_us).toPandas()
+    assert len(out) == len(pdf)
     res = {}
-    for loc, g in p.groupby("location"):
+    for _loc, g in pdf.groupby("location"):
         t = g["timestamp"].values
         v = g["traffic_volume"].values
         for i, eid in enumerate(g["event_id"].values):
-            lo = t[i] - np.timedelta64(24, "h")
-            mask = (t > lo) & (t <= t[i])
-            res[eid] = (v[mask].mean(), int(mask.sum()))
+            for k in (3, 24):
+                mask = (t > t[i] - np.timedelta64(k, "h")) & (t <= t[i])
+                res[(eid, k)] = (v[mask].mean(), int(mask.sum()), v[mask].max(), v[mask].min())
     for _, r in out.iterrows():
-        mean, cnt = res[r["event_id"]]
-        assert r["traffic_volume_time_count_24h"] == cnt
-        assert np.isclose(r["traffic_volume_time_mean_24h"], mean)
+        for k in (3, 24):
+            mean, cnt, mx, mn = res[(r["event_id"], k)]
+            assert r[f"traffic_volume_time_count_{k}h"] == cnt
+            assert np.isclose(r[f"traffic_volume_time_mean_{k}h"], mean)
+            assert r[f"traffic_volume_time_max_{k}h"] == mx
+            assert r[f"traffic_volume_time_min_{k}h"] == mn
 
 
 def test_exact_quantiles_match_numpy(spark):
