@@ -123,10 +123,13 @@ def test_exact_quantiles_match_numpy(spark):
     pdf = pd.DataFrame({"x": vals, "k": np.full(len(vals), 7.0), "z": [None] * len(vals)})
     df = spark.createDataFrame(pdf, "x double, k double, z double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    q = exact_quantiles(df, ["x", "k", "z"], probs, buckets=16)
-    assert np.allclose(q["x"], np.quantile(vals, probs))
-    assert q["k"] == [7.0] * len(probs)
-    assert q["z"] == [None] * len(probs)
+    # small_n=0 forces the histogram refinement; the default takes the
+    # size-checked exact ``percentile`` path at this size
+    for kw in ({"buckets": 16, "small_n": 0}, {}):
+        q = exact_quantiles(df, ["x", "k", "z"], probs, **kw)
+        assert np.allclose(q["x"], np.quantile(vals, probs))
+        assert q["k"] == [7.0] * len(probs)
+        assert q["z"] == [None] * len(probs)
 
 
 def test_approx_switch_close_to_exact(spark):
