@@ -143,3 +143,25 @@ def test_approx_switch_close_to_exact(spark):
     for p, a in zip([0.25, 0.5, 0.75], approx):
         rank = (vals <= a).mean()
         assert abs(rank - p) <= 1e-3 + 1 / 5000
+
+
+def test_rolling_time_nulls_match_range_frame(spark):
+    # null values are skipped by every statistic; rows without a timestamp
+    # see the other untimed rows of their location (RANGE peers), as in a
+    # plain RANGE frame
+    df, _pdf = _skewed(spark, n=400, seed=7)
+    df = df.withColumns({
+        "traffic_volume": F.when(F.col("event_id") % 9 != 0, F.col("traffic_volume")),
+        "timestamp": F.when(F.col("event_id") % 17 != 0, F.col("timestamp")),
+    })
+    got = W.rolling_time(df, columns=["traffic_volume"], hours=[3], block_us=W.HOUR_US // 4)
+    e = W.epoch_micros("timestamp")
+    w = Window.partitionBy("location").orderBy(e).rangeBetween(-(3 * W.HOUR_US - 1), 0)
+    c = F.col("traffic_volume")
+    want = df.select("event_id", F.avg(c).over(w).alias("m"), F.max(c).over(w).alias("x"),
+                     F.min(c).over(w).alias("n"), F.count(c).over(w).alias("k"))
+    got = got.select("event_id", F.col("traffic_volume_time_mean_3h").alias("m"),
+                     F.col("traffic_volume_time_max_3h").alias("x"),
+                     F.col("traffic_volume_time_min_3h").alias("n"),
+                     F.col("traffic_volume_time_count_3h").alias("k"))
+    assert _rows(got, ["event_id", "m", "x", "n", "k"]) == _rows(want, ["event_id", "m", "x", "n", "k"])
