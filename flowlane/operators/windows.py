@@ -344,19 +344,22 @@ def bin_sizes(n: int, q: int) -> dict[int, int]:
 
 
 def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
-                   n: int | None = None) -> tuple[list[int], list, int]:
+                   n: int | None = None, stats: dict | None = None) -> tuple[list[int], list, int]:
     """W4 boundaries: the present bin ids, and for every bin but the last the
     (value, id) of its last row in (value, id) order, plus n. Found by exact
     distributed selection: the value is an order statistic of ``col``; when
     it repeats, the id is an order statistic of the id among the rows
     holding that value. Rows with a null ``col`` take no part. One bounds
-    pass (count, min/max of value and id) seeds every bracket."""
+    pass (count, min/max of value and id) seeds every bracket; a caller that
+    already knows n and enclosing ranges passes them as ``stats`` (keys n,
+    mn, mx, imn, imx) and saves that pass."""
     from .quantiles import select_ranks
     v = F.col(col).cast("double")
     i = F.col(id_col).cast("double")
-    r0 = df.agg(F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-                F.min(F.when(v.isNotNull(), i)).alias("imn"),
-                F.max(F.when(v.isNotNull(), i)).alias("imx")).first()
+    r0 = stats if stats is not None else df.agg(
+        F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+        F.min(F.when(v.isNotNull(), i)).alias("imn"),
+        F.max(F.when(v.isNotNull(), i)).alias("imx")).first().asDict()
     n = r0["n"] if n is None else n
     sizes = bin_sizes(n, q)
     present = sorted(sizes)
