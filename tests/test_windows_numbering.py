@@ -165,3 +165,13 @@ def test_rolling_time_nulls_match_range_frame(spark):
                      F.col("traffic_volume_time_min_3h").alias("n"),
                      F.col("traffic_volume_time_count_3h").alias("k"))
     assert _rows(got, ["event_id", "m", "x", "n", "k"]) == _rows(want, ["event_id", "m", "x", "n", "k"])
+
+
+def test_time_block_fits_density(spark):
+    df, pdf = _skewed(spark, n=600)
+    hours = pdf["timestamp"].dt.floor("h")
+    densest = int(pdf.groupby([pdf["location"], hours]).size().max())
+    assert W.time_block_us(df, "location", max_block_rows=densest) == W.HOUR_US
+    assert W.time_block_us(df, "location", max_block_rows=max(1, (densest - 1) // 2)) <= W.HOUR_US // 2
+    # never shorter than 1/64 h, whatever the density
+    assert W.time_block_us(df, "location", max_block_rows=0) == W.HOUR_US >> W.MAX_BLOCK_SPLITS
