@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlane.llm import bpe, packing, pii, simhash
+from flowlane.llm import bpe, packing, pii, simhash, warc
 from flowlane.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,7 +38,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op5_bpe, op7_pii, op9_simhash)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op5_bpe, op7_pii, op9_simhash, op10_warc)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+       case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id <> first then first end as refers_to
+from p left join f using (d)""",
+}
