@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlane.llm import bpe, packing, pii, simhash, warc
+from flowlane.llm import ann, bpe, embed_dedup, packing, pii, simhash, warc
 from flowlane.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
     return coded.withColumn("text", bpe.decoded(F.col("ids"), BYTE_VOCABULARY)).select(
@@ -30,6 +34,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("scores")
 
@@ -43,9 +51,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op5_bpe, op7_pii, op9_simhash, op10_warc)}
+    f.__name__: f for f in (op1_packing, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_embed_dedup": """
+with recursive u as (
+    select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+g as (select vec_id, list_cosine_similarity(v, v) is not null as ok, v from u),
+l as (select a.vec_id as a, b.vec_id as b from g a, g b
+      where a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95),
+r(a, b) as (select vec_id, vec_id from u union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from c left join n using (vec_id)""",
     "op10_warc": """
 with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
 f as (select d, min(page_id) as first from p where n >= 100 group by d)

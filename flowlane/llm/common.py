@@ -4,7 +4,9 @@ intermediate tables, and connected components over an edge table."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _digest(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     return r[0], r[1]
+
+
+def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Root position of each of ``n`` positions under the links of ``pairs``."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root = up
+    return root

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import components, written
+from flowlane.llm.common import components, forest, written
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -117,20 +117,6 @@ class GrayIndex:
             yield q[later], node[later]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Root position of each of ``n`` positions under the links of ``pairs``."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = root[i], root[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := root[root], root):
-                root = up
-    return root
-
-
 def _blocks(count: int, bits: list[int]) -> list[list[int]]:
     cuts = np.linspace(0, len(bits), count + 1).astype(int)
     return [bits[a:b] for a, b in pairwise(cuts)]
