@@ -3,8 +3,11 @@ intermediate tables, and connected components over an edge table."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers (as ``--py-files`` would),
+    once a session, for sessions whose workers do not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowlane_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    with tempfile.NamedTemporaryFile(prefix="flowlane-", suffix=".zip", delete=False) as f:
+        with zipfile.ZipFile(f, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(f.name)
+    sc._flowlane_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
