@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlane.llm import ann, bpe, embed_dedup, packing, pii, simhash, toxicity, warc
+from flowlane.llm import ann, bpe, embed_dedup, packing, pii, quality, simhash, toxicity, warc
 from flowlane.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op9_simhash, op10_warc)}
+    f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embed_dedup": """
