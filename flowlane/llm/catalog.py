@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlane.llm import ann, bpe, embed_dedup, packing, pii, quality, simhash, toxicity, warc
+from flowlane.llm import ann, bpe, embed_dedup, html_main, packing, pii, quality, simhash, toxicity, warc
 from flowlane.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("scores")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op9_simhash, op10_warc)}
+    f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op8_html, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embed_dedup": """
