@@ -7,9 +7,9 @@ continuation counts (in how many different places a letter group occurs) both
 classes share. So an expression that is rare in a class is judged by what all
 documents show, and only what a class has really been seen to do tells them apart.
 
-A word's evidence is its toxic less its ordinary log-likelihood divided by its
-length. A document's evidence is its strongest words and its mean over all
-letters; a logistic curve fitted on labelled rows that gave no counts turns it
+A word's evidence is its toxic less its ordinary log-likelihood. A document's
+evidence is that of its strongest words and the difference of its two
+length-normalised log-likelihoods (per letter); a logistic curve fitted on labelled rows that gave no counts turns it
 into a score.
 
 Counts come from all labelled rows, gathered as partial counts per task and summed
@@ -36,6 +36,7 @@ DISCOUNT = 0.75
 LETTERS = 256        # assumed size of the alphabet for the uniform end of the chain
 LONGEST = 40         # a longer word is cut into words of this length
 TOP = 3              # strongest words that count
+TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
 CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +154,7 @@ class Model:
 
     def evidence(self, texts: list[str | None], lot: int = 100_000) -> np.ndarray:
         """For each text: its TOP strongest words' evidence, strongest first, and the
-        mean over all its letters. A text without words has zeros."""
+        difference of the log-likelihoods per letter. A text without words has zeros."""
         split = [split_words(t) for t in texts]
         place = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
         words = list(place)
@@ -162,12 +163,11 @@ class Model:
             groups, word = letters(words[k:k + lot])
             sums[k:k + lot] = np.bincount(word, self.logs(groups), len(words[k:k + lot]))
             sizes[k:k + lot] = np.bincount(word, minlength=len(words[k:k + lot]))
-        each = sums / sizes
         out = np.zeros((len(texts), TOP + 1))
         for i, s in enumerate(split):
             if s:
                 at = np.fromiter(map(place.__getitem__, s), np.int64, len(s))
-                e = np.sort(each[at])[::-1][:TOP]
+                e = np.sort(sums[at])[::-1][:TOP]
                 out[i, :len(e)] = e
                 out[i, len(e):TOP] = min(0.0, e[-1])
                 out[i, TOP] = sums[at].sum() / sizes[at].sum()
@@ -221,11 +221,10 @@ def fit_counts(labelled: DataFrame) -> Model:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic curve (the last one is the constant), both classes
-    weighing the same, by Newton steps."""
+    """Weights of a logistic curve (the last one is the constant) by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weight = np.where(y == 1, TOXIC_WEIGHT, 1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
