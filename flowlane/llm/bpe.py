@@ -28,6 +28,8 @@ from flowlane.llm.words import Encoder, Vocabulary, encoder
 
 #: Longest chunk, in characters, that may be in the lexicon.
 LONGEST = 48
+#: Pieces merged last that a worker remembers; frequent chunks are in the lexicon.
+MEMO = 100_000
 
 
 def compile_words(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -157,7 +159,7 @@ def frequent_chunks(docs: DataFrame, vocabulary: str, size: int = 65_536, share:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = encoder(vocabulary).vocabulary
+        v = encoder(vocabulary, MEMO).vocabulary
         seen: Counter = Counter()
         total = 0
         for b in batches:
@@ -223,11 +225,12 @@ def encode_texts(texts: list[str], lexicon: Lexicon, enc: Encoder, chars: int =
             yield b"".join([ids[c] for c in x]) if type(x) is list else v.library_bytes(x)
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon_size: int = 65_536,
+def encode(docs: DataFrame, vocabulary: str, lexicon_size: int = 65_536, decode: bool = False,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``ids`` (binary: little-endian unsigned 32-bit integers) of each
     row's whole text, as the tokenizer library gives them without added special
-    tokens, truncation or padding.
+    tokens, truncation or padding; with ``decode`` also ``text``, decoded from the
+    ids in the same Python worker.
 
     A null text counts as empty (no ids). Null ids stay null, repeated rows give
     repeated rows, other columns are not read, an empty table gives no rows.
@@ -235,15 +238,19 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_size: int = 65_536,
     name = build_lexicon(docs, vocabulary, lexicon_size, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, enc = _opened(name), encoder(vocabulary)
+        lexicon, enc = _opened(name), encoder(vocabulary, MEMO)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = encode_texts([t or "" for t in part.column(1).to_pylist()], lexicon, enc)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                ids = list(encode_texts([t or "" for t in part.column(1).to_pylist()], lexicon, enc))
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decode:
+                    d = _decoder(vocabulary)
+                    columns.append(pa.array([d.text(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][:len(columns)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, ids binary")
+                       ).mapInArrow(run, "doc_id long, ids binary" + (", text string" if decode else ""))
 
 
 class Decoder:
@@ -270,14 +277,18 @@ class Decoder:
 _DECODERS: dict[str, Decoder] = {}
 
 
+def _decoder(vocabulary: str) -> Decoder:
+    if vocabulary not in _DECODERS:
+        _DECODERS[vocabulary] = Decoder(encoder(vocabulary, MEMO).vocabulary)
+    return _DECODERS[vocabulary]
+
+
 def decoded(ids: Column, vocabulary: str) -> Column:
     """The text that a binary column of ids stands for, special tokens included."""
 
     @F.pandas_udf("string")
     def run(column):
-        if vocabulary not in _DECODERS:
-            _DECODERS[vocabulary] = Decoder(encoder(vocabulary).vocabulary)
-        d = _DECODERS[vocabulary]
+        d = _decoder(vocabulary)
         return column.map(lambda x: None if x is None else d.text(bytes(x)))
 
     return run(ids)

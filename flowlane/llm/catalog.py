@@ -36,8 +36,8 @@ def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
-    return coded.withColumn("text", bpe.decoded(F.col("ids"), BYTE_VOCABULARY)).select(
+    coded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, decode=True)
+    return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
