@@ -258,18 +258,39 @@ class Scorer:
         return score(text)
 
 
+def among(ids: DataFrame, bits: int = 1 << 26):
+    """A test for a column of ids that every id in ``ids`` (doc_id) passes and, while
+    they are fewer than its bits, most others do not: a hashed bitmap of ``bits`` bits,
+    whatever the number of ids."""
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+    got = (ids.select(F.shiftright(place, 6).alias("w"), (place % 64).cast("int").alias("b"))
+           .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toPandas())
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series(sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) != 0)
+
+    return passes(place)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are
     not held out. Four fifths of them give the counts, of the rest at most
     ``CALIBRATION_ROWS`` the curve. Without rows of both classes every text scores 0.
     """
     marks = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    marks = marks.where(~held_out())
+    # only texts that may be labelled are shuffled to their labels, at any size alike
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-            .where(~held_out()).join(marks, "doc_id"))
+            .where("doc_id is not null").where(among(marks)).join(marks.hint("merge"), "doc_id"))
     rows = written(rows.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5))), "labelled")
     model = fit_counts(rows.where("fold > 0"))
     sample = (rows.where("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
-              .select("text", "toxic"))
+              .select("text", "toxic").repartition(16))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
