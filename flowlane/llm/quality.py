@@ -166,12 +166,15 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
-    """Fit on at most ``FIT_ROWS`` rows, those with the smallest hashes of all rows that
-    ``labels`` (doc_id, quality) marks and that are not held out. Without rows of both
-    labels every text gets the same score."""
-    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Fit on at most ``FIT_ROWS`` labelled ids: of those that ``labels`` (doc_id, quality)
+    marks and that are not held out, the ones with the smallest hashes. That table has a
+    fixed size, so it goes to the texts, not the texts to it. Without rows of both labels
+    every text gets the same score."""
+    marks = (labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
+             .groupBy("doc_id").agg(F.max("quality").alias("quality"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-            .where(~held_out()).join(marks, "doc_id"))
+            .join(F.broadcast(marks), "doc_id"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
