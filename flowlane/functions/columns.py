@@ -97,16 +97,23 @@ def approx_day_of_year(month: ColumnOrName = "month", day: ColumnOrName = "day_o
 
 # --- P5: interactions -----------------------------------------------------
 
-def interaction_columns() -> dict[str, Column]:
+def interaction_columns(columns: list[str] | None = None) -> dict[str, Column]:
+    """P5a-f; with ``columns`` only the terms whose inputs are among them."""
     vol = F.col("traffic_volume")
-    return {
-        "volume_weather_interaction": vol * (F.col("weather_condition") + 1) / F.lit(1000.0),
-        "speed_volume_ratio": F.when(vol > 0, F.col("avg_speed") / vol).otherwise(F.lit(0.0)),
-        "rush_hour_volume": F.col("is_rush_hour") * vol,
-        "weekend_volume": F.col("is_weekend") * vol,
-        "temp_humidity_index": F.col("temperature") * 0.5 + F.col("humidity") * 0.5,
-        "storm_severity": F.col("precipitation") * 0.6 + F.col("wind_speed") * 0.4,
+    terms = {
+        "volume_weather_interaction": (["traffic_volume", "weather_condition"],
+                                       vol * (F.col("weather_condition") + 1) / F.lit(1000.0)),
+        "speed_volume_ratio": (["traffic_volume", "avg_speed"],
+                               F.when(vol > 0, F.col("avg_speed") / vol).otherwise(F.lit(0.0))),
+        "rush_hour_volume": (["is_rush_hour", "traffic_volume"], F.col("is_rush_hour") * vol),
+        "weekend_volume": (["is_weekend", "traffic_volume"], F.col("is_weekend") * vol),
+        "temp_humidity_index": (["temperature", "humidity"],
+                                F.col("temperature") * 0.5 + F.col("humidity") * 0.5),
+        "storm_severity": (["precipitation", "wind_speed"],
+                           F.col("precipitation") * 0.6 + F.col("wind_speed") * 0.4),
     }
+    return {name: term for name, (needs, term) in terms.items()
+            if columns is None or set(needs) <= set(columns)}
 
 
 # --- P7: cyclic encoding --------------------------------------------------

@@ -84,13 +84,16 @@ def optimal_times(df: DataFrame, value: str = TARGET) -> DataFrame:
     ``improvement_pct = round((1 - min / max(max, .01)) * 100, 1)``.
 
     Two-level aggregate: (location, hour) partials, then per location with
-    ``min_by`` / ``max_by`` — no self-join, no re-scan per location.
+    ``min_by`` / ``max_by`` — no self-join, no re-scan per location. Largest
+    improvement first, ties by location.
     """
     hourly = df.groupBy("location", "hour").agg(
         F.avg(value).alias("m"), F.avg("traffic_volume").alias("v"), F.avg("avg_speed").alias("s"))
     per_loc = hourly.groupBy("location").agg(
-        F.min_by(F.struct("hour", "v", "s"), F.struct("m", "hour")).alias("best"),
-        F.max_by(F.col("hour"), F.struct(F.col("m"), -F.col("hour"))).alias("worst_hour"),
+        # hours without any target value are no candidates
+        F.min_by(F.struct("hour", "v", "s"), F.when(F.col("m").isNotNull(), F.struct("m", "hour"))).alias("best"),
+        F.max_by(F.col("hour"), F.when(F.col("m").isNotNull(), F.struct(F.col("m"), -F.col("hour")))
+                 ).alias("worst_hour"),
         F.min("m").alias("congestion_level"), F.max("m").alias("max_congestion"))
     pct = (1 - F.col("congestion_level") / F.greatest(F.col("max_congestion"), F.lit(0.01))) * 100
     return per_loc.select(
@@ -100,7 +103,7 @@ def optimal_times(df: DataFrame, value: str = TARGET) -> DataFrame:
         "congestion_level", "max_congestion",
         F.col("best.v").cast("long").alias("traffic_volume"),
         F.col("best.s").cast("long").alias("avg_speed"),
-        round_binary(pct, 1).alias("improvement_pct"))
+        round_binary(pct, 1).alias("improvement_pct")).orderBy(F.desc("improvement_pct"), "location")
 
 
 def hour_outlook(df: DataFrame, current_hour: int, horizon: int = 6, value: str = TARGET) -> DataFrame:
@@ -232,26 +235,22 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-TOPK_MAX_ROWS = 100_000
-
-
 def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) -> DataFrame:
     """L3: exactly ``min(n, rows)`` rows without replacement, deterministic
     for a seed: the rows with the n smallest ``(u, id)``, u a uniform draw
     hashed from (id, seed).
 
-    Small n: top-k (TakeOrderedAndProject keeps n rows per task). Large n:
-    the n-th smallest u is found exactly by distributed histogram
+    The n-th smallest u is found exactly by distributed histogram
     refinement and the sample is a plain filter, so no task ever buffers n
-    rows."""
+    rows, whatever n is."""
+    if n <= 0:
+        return df.limit(0)
     x = df.withColumn("_u", uniform_draw(id_col, seed))
-    if n <= TOPK_MAX_ROWS:
-        return x.orderBy("_u", id_col).limit(n).drop("_u")
     from .quantiles import order_statistics
     total = df.count()
     if n >= total:
         return df
-    t = order_statistics(x, [("_u", n - 1)])[("_u", n - 1)]
+    t = order_statistics(x, [("_u", n - 1)], bounds={"mn__u": 0.0, "mx__u": 1.0})[("_u", n - 1)]
     below = x.filter(F.col("_u") < F.lit(t))
     taken = below.count()
     # rows sharing the threshold draw (a handful at most) are cut by id

@@ -355,7 +355,7 @@ def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
     mn, mx, imn, imx) and saves that pass."""
     from .quantiles import select_ranks
     v = F.col(col).cast("double")
-    i = F.col(id_col).cast("double")
+    i = F.col(id_col).cast("long")  # ids beyond 2^53 do not fit a double
     r0 = stats if stats is not None else df.agg(
         F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
         F.min(F.when(v.isNotNull(), i)).alias("imn"),

@@ -52,8 +52,7 @@ def score_stream(obs_stream: DataFrame, sink_path: str, checkpoint: str, models:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = predict(batch, models, scaler, encoder)
-        cols = [c for c in scored.columns if c != "model_predictions"]
-        (scored.select(*cols).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        (scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .parquet(f"{sink_path}/batch_id={batch_id}"))
     w = obs_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")

@@ -75,14 +75,10 @@ def test_sample_exact(spark, obs001):
     assert len(ids) == 100 == len(set(ids))
     assert ids == [r["event_id"] for r in A.sample_exact(obs001, 100, seed=7).collect()]
     assert A.sample_exact(obs001, 10 ** 9).count() == obs001.count()
-    # the large-n path (threshold + filter) picks the same rows as top-k
-    old = A.TOPK_MAX_ROWS
-    try:
-        A.TOPK_MAX_ROWS = 10
-        big = sorted(r["event_id"] for r in A.sample_exact(obs001, 100, seed=7).collect())
-    finally:
-        A.TOPK_MAX_ROWS = old
-    assert big == sorted(ids)
+    # the same rows as a plain top-k
+    from flowlane.functions.columns import uniform_draw
+    plain = obs001.withColumn("_u", uniform_draw("event_id", 7)).orderBy("_u", "event_id").limit(100)
+    assert sorted(ids) == sorted(r["event_id"] for r in plain.collect())
 
 
 def test_empty_input(spark, obs001):

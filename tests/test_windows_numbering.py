@@ -123,15 +123,39 @@ def test_exact_quantiles_match_numpy(spark):
     pdf = pd.DataFrame({"x": vals, "k": np.full(len(vals), 7.0), "z": [None] * len(vals)})
     df = spark.createDataFrame(pdf, "x double, k double, z double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    # small_n=0 forces the histogram refinement; the default takes the
-    # size-checked exact ``percentile`` path at this size
-    for kw in ({"buckets": 16, "small_n": 0}, {}):
+    for kw in ({"buckets": 16}, {}):
         q = exact_quantiles(df, ["x", "k", "z"], probs, **kw)
         assert np.allclose(q["x"], np.quantile(vals, probs))
         assert q["k"] == [7.0] * len(probs)
         assert q["z"] == [None] * len(probs)
 
 
+def test_exact_quantiles_of_wide_and_odd_values(spark):
+    # powers from 1e-200 to 1e200 of both signs, infinities, NaN (as null)
+    odd = [1e-200, 1e200, -1e-200, -1e200, 0.0, 5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 1.0]
+    ids = [2 ** 60 + k for k in range(12)]
+    rows = list(zip(odd + [float("nan"), None], ids + [None, 2 ** 62], strict=True))
+    df = spark.createDataFrame(rows, "x double, i long")
+    from flowlane.operators.quantiles import order_statistics
+    got = order_statistics(df, [("x", k) for k in range(12)] + [("i", k) for k in range(13)])
+    assert [got["x", k] for k in range(12)] == sorted(odd)
+    assert [got["i", k] for k in range(13)] == sorted(ids) + [2 ** 62]
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=400) * 10.0 ** rng.integers(-200, 200, 400)
+    df = spark.createDataFrame(pd.DataFrame({"x": wide}))
+    assert order_statistics(df, [("x", k) for k in (0, 57, 200, 399)], 64) == {
+        ("x", k): np.sort(wide)[k] for k in (0, 57, 200, 399)}
+
+
+def test_bins_and_split_with_ids_beyond_2_53(spark):
+    from flowlane.operators.transforms import stratified_split
+    df = spark.range(1000).select((F.col("id") + 2 ** 60).alias("event_id"), F.lit(1.5).alias("congestion_level"))
+    bins = W.quantile_bins(df, "congestion_level").groupBy("bin").count().collect()
+    assert sorted(r["count"] for r in bins) == [100] * 10
+    parts = {r["split"]: r["count"] for r in stratified_split(df).groupBy("split").count().collect()}
+    assert parts == {"test": 200, "validation": 100, "train": 700}
+
+
 def test_approx_switch_close_to_exact(spark):
     from flowlane.operators.quantiles import quantiles
     rng = np.random.default_rng(5)
