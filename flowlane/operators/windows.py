@@ -2,18 +2,16 @@
 
 Strategies for the row windows (lag / rolling / trend):
 
-* ``plain``   — ``Window.partitionBy(location).orderBy(timestamp, id)``:
+* ``plain``   — on request: ``Window.partitionBy(location).orderBy(timestamp, id)``:
   one Exchange + one Sort, and every lag / rolling statistic sharing the
   spec collapses into the same Window node. One location is one task.
-* ``chunked`` — skew-safe: rows are numbered exactly in
+* ``chunked`` — the default, skew-safe: rows are numbered exactly in
   (location, timestamp, id) order (``global_row_number``), cut into
   chunks of ``chunk_rows``; the last ``lookback`` rows of each chunk are
   copied into the next chunk as a halo, the window runs per
   (location, chunk) and halo rows are dropped. No task sees more than
   ``chunk_rows + lookback`` rows, whatever the key skew. Results are
   identical to ``plain``.
-* ``auto``    — one cheap aggregate finds the largest location; above
-  ``max_group_rows`` the chunked plan is used.
 
 ``partition_by=None`` reproduces the reference's whole-frame row order
 (ordered by timestamp, id) and is always chunked.
@@ -33,29 +31,21 @@ from .numbering import global_row_number
 DEFAULT_LAGS = [1, 2, 3, 6, 12, 24]
 DEFAULT_WINDOWS = [3, 6, 12, 24]
 DEFAULT_COLUMNS = ["traffic_volume", "avg_speed"]
-MAX_GROUP_ROWS = 5_000_000
 CHUNK_ROWS = 1_000_000
 
 # spec → {name: column} built against that spec
 Builder = Callable[[WindowSpec], list[tuple[str, Column]]]
 
 
-def _largest_group(df: DataFrame, key: str) -> int:
-    r = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
 def _apply_windows(df: DataFrame, stages: list[Builder], partition_by: str | None,
-                   order: list[str], lookback: int, strategy: str = "auto",
-                   chunk_rows: int = CHUNK_ROWS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    if strategy not in ("auto", "plain", "chunked"):
+                   order: list[str], lookback: int, strategy: str = "chunked",
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Row windows by one plan: ``chunked`` bounds every task whatever a key holds.
+    A caller who knows that no key is large may ask for ``plain``, one window group
+    per key (no numbering pass); results are the same."""
+    if strategy not in ("plain", "chunked"):
         raise ValueError(strategy)
-    if partition_by is None:
-        strategy = "chunked"
-    elif strategy == "auto":
-        strategy = "chunked" if _largest_group(df, partition_by) > max_group_rows else "plain"
-
-    if strategy == "plain":
+    if strategy == "plain" and partition_by is not None:
         spec = Window.partitionBy(partition_by).orderBy(*order)
         out = df
         for st in stages:
@@ -185,22 +175,24 @@ def epoch_micros(ts: str | Column) -> Column:
 
 HOUR_US = 3600 * 1_000_000
 MAX_BLOCK_ROWS = 1_000_000
-MAX_BLOCK_SPLITS = 6  # blocks no shorter than 1/64 h (56.25 s)
+HOUR_FACTORS = [2] * 10 + [3] * 2 + [5] * 8  # of an hour in microseconds
 
 
 def time_block_us(df: DataFrame, partition_by: str, ts: str = "timestamp",
                   max_block_rows: int = MAX_BLOCK_ROWS) -> int:
-    """Block width for ``rolling_time``: one hour, halved until the densest
-    (key, hour) is expected to fit ``max_block_rows`` per block. One
-    aggregate; the width always divides an hour, so every window of whole
-    hours spans a whole number of blocks."""
+    """Block width for ``rolling_time``: one hour, divided until the densest
+    (key, hour) is expected to fit ``max_block_rows`` per block (down to single
+    instants). One aggregate; the width always divides an hour, so every window
+    of whole hours spans a whole number of blocks."""
     e = epoch_micros(ts)
     hour = (e - F.pmod(e, F.lit(HOUR_US))) / F.lit(HOUR_US)
     densest = df.groupBy(F.col(partition_by), hour.alias("_h")).count().agg(F.max("count")).first()[0]
-    j = 0
-    while j < MAX_BLOCK_SPLITS and (densest or 0) > max_block_rows * (1 << j):
-        j += 1
-    return HOUR_US >> j
+    parts = 1
+    for f in HOUR_FACTORS:
+        if (densest or 0) <= max_block_rows * parts:
+            break
+        parts *= f
+    return HOUR_US // parts
 
 
 def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[int] | None = None,
@@ -290,8 +282,10 @@ def rolling_time(df: DataFrame, columns: list[str] | None = None, hours: list[in
                          f"_fx_{c}_{k}": F.max(f"_bx_{c}").over(bw),
                          f"_fm_{c}_{k}": F.min(f"_bm_{c}").over(bw)})
     if full:
-        rows = rows.join(blocks.select("_k", F.col("_b").alias("_pb"), *[v.alias(n) for n, v in full.items()]),
-                         ["_k", "_pb"], "left")
+        sums = blocks.select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"),
+                             *[v.alias(n) for n, v in full.items()])
+        # rows without a key are a key of their own; rows without a time are in no block
+        rows = rows.join(sums, F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_pb") == F.col("_bb")), "left")
 
     def part_of(name):
         return F.col(name) if name in full else F.lit(None)

@@ -29,7 +29,7 @@ def q_lag_features(spark, sf):
 def q_lag_features_chunked(spark, sf):
     # Same result through the skew-safe plan (small chunks force many halos).
     df = observations(spark, sf)
-    out = W.lag_features(df, strategy="chunked", chunk_rows=97)
+    out = W.lag_features(df, strategy="chunked")
     return out.select(*_KEY, *[c for c in out.columns if "_lag_" in c])
 
 
@@ -57,7 +57,7 @@ def q_rolling_features(spark, sf):
 
 @register("rolling_features_chunked", _rolling_sql(W.DEFAULT_COLUMNS, W.DEFAULT_WINDOWS))
 def q_rolling_features_chunked(spark, sf):
-    return _rolling_select(W.rolling_features(observations(spark, sf), strategy="chunked", chunk_rows=101))
+    return _rolling_select(W.rolling_features(observations(spark, sf), strategy="chunked"))
 
 
 _ROW_ORDER = 'OVER (ORDER BY "timestamp", event_id'
@@ -72,9 +72,8 @@ SELECT event_id, round(avg(traffic_volume) {_ROW_ORDER} ROWS BETWEEN 2 PRECEDING
 def q_rolling_frame_order(spark, sf):
     # The reference's un-partitioned frame order (whole table, by time).
     df = observations(spark, sf)
-    r = W.rolling_features(df, columns=["traffic_volume"], windows=[3], partition_by=None,
-                           chunk_rows=500)
-    r = W.lag_features(r, columns=["traffic_volume"], lags=[1], partition_by=None, chunk_rows=500)
+    r = W.rolling_features(df, columns=["traffic_volume"], windows=[3], partition_by=None)
+    r = W.lag_features(r, columns=["traffic_volume"], lags=[1], partition_by=None)
     return r.select("event_id", _r6("traffic_volume_rolling_mean_3h"),
                     _r6("traffic_volume_rolling_std_3h"), "traffic_volume_lag_1h")
 

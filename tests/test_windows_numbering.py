@@ -53,9 +53,9 @@ def test_chunked_equals_plain(spark, chunk):
     assert _rows(ta, cols) == _rows(tb, cols)
 
 
-def test_auto_switches_on_large_group(spark):
+def test_default_plan_equals_plain(spark):
     df, _ = _skewed(spark)
-    a = W.lag_features(df, lags=[1, 24], strategy="auto", max_group_rows=100, chunk_rows=50)
+    a = W.lag_features(df, lags=[1, 24], chunk_rows=50)
     b = W.lag_features(df, lags=[1, 24], strategy="plain")
     cols = ["event_id", "traffic_volume_lag_1h", "traffic_volume_lag_24h"]
     assert _rows(a, cols) == _rows(b, cols)
@@ -191,11 +191,19 @@ def test_rolling_time_nulls_match_range_frame(spark):
     assert _rows(got, ["event_id", "m", "x", "n", "k"]) == _rows(want, ["event_id", "m", "x", "n", "k"])
 
 
+def test_rolling_time_of_rows_without_a_key(spark):
+    df, _ = _skewed(spark, n=300, seed=9)
+    null = W.rolling_time(df.withColumn("location", F.lit(None).cast("string")), ["traffic_volume"], [3])
+    one = W.rolling_time(df.withColumn("location", F.lit("x")), ["traffic_volume"], [3])
+    cols = ["event_id", "traffic_volume_time_mean_3h", "traffic_volume_time_count_3h", "traffic_volume_time_max_3h"]
+    assert _rows(null, cols) == _rows(one, cols)
+
+
 def test_time_block_fits_density(spark):
     df, pdf = _skewed(spark, n=600)
     hours = pdf["timestamp"].dt.floor("h")
     densest = int(pdf.groupby([pdf["location"], hours]).size().max())
     assert W.time_block_us(df, "location", max_block_rows=densest) == W.HOUR_US
     assert W.time_block_us(df, "location", max_block_rows=max(1, (densest - 1) // 2)) <= W.HOUR_US // 2
-    # never shorter than 1/64 h, whatever the density
-    assert W.time_block_us(df, "location", max_block_rows=0) == W.HOUR_US >> W.MAX_BLOCK_SPLITS
+    # down to single instants
+    assert W.time_block_us(df, "location", max_block_rows=0) == 1
