@@ -65,7 +65,47 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op8_html, op9_simhash, op10_warc)}
 
+#: The plain patterns, in the language of the SQL engine (no look-behind needed).
+_PII_SQL = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true"),
+    "ip": ("[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+",
+           "regexp_full_match(v, '(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[.]|$)){4}')"),
+    "card": ("[0-9](?:[ -]?[0-9])+", """length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda i:
+        (substr(d, length(d) - i, 1)::int * (i % 2 + 1))
+        - case when substr(d, length(d) - i, 1)::int * (i % 2 + 1) > 9 then 9 else 0 end)) % 10 = 0"""),
+    "phone": ("[+][0-9][ ().0-9-]+[0-9]", "length(d) between 9 and 15"),
+    "iban": ("\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\\b", """length(replace(v, ' ', '')) between 15 and 34 and list_reduce(
+        list_prepend(0::bigint, list_transform(string_split(substr(replace(v, ' ', ''), 5) || left(v, 4), ''),
+        lambda c: (case when c < 'A' then ascii(c) - 48 else ascii(c) - 55 end)::bigint)),
+        lambda a, c: (a * case when c > 9 then 100 else 10 end + c) % 97) = 1"""),
+}
+
+
+def _pii_sql() -> str:
+    found = " union all ".join(f"""
+    select doc_id, {rank} as rank, '{kind}' as kind, i, ms[i] as v, ps, ms from (
+        select doc_id, unnest(range(1, len(ms) + 1)) as i, ms, ps from (
+            select doc_id, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as ps from d))"""
+                               for rank, (kind, (pattern, _)) in enumerate(_PII_SQL.items()))
+    checks = " ".join(f"when '{kind}' then {check}" for kind, (_, check) in _PII_SQL.items())
+    counts = ", ".join(f"count(*) filter (kind = '{k}')::bigint as n_{k}" for k in pii.BASE)
+    joined = "string_agg(span, ',' order by start, rank)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({found}),
+g as (select *, regexp_replace(v, '[^0-9]', '', 'g') as d,
+      (list_sum(list_transform(ps[1:i], lambda x: length(x)))
+       + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start from f),
+s as (select doc_id, rank, kind, start, concat_ws(':', kind, start, start + length(v)) as span from g
+      where case kind {checks} end),
+a as (select doc_id, {counts}, {joined} filter (rank < {len(pii.BASE)}) as base, {joined} as spans from s group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)},
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_pii": _pii_sql(),
     "op4_embed_dedup": """
 with recursive u as (
     select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
