@@ -242,7 +242,8 @@ def round_binary(x: ColumnOrName, digits: int) -> Column:
 
 
 def uniform_draw(id_col: ColumnOrName, seed: int) -> Column:
-    """Deterministic uniform draw in [0, 1) per row: the top 53 bits of
-    ``xxhash64(id, seed)`` as an exact double (sampling / split order)."""
-    h = F.xxhash64(_c(id_col), F.lit(seed))
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
+    """Deterministic uniform draw in [0, 1) per row: the first 52 bits of
+    ``md5("id:seed")`` as an exact double (sampling / split order). Any SQL
+    engine with md5 can repeat it."""
+    digest = F.md5(F.concat_ws(":", _c(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") * F.lit(2.0 ** -52)

@@ -227,17 +227,35 @@ def q_time_series(spark, sf):
     return A.time_series(observations(spark, sf), 500)
 
 
-@register("sample_exact")
+def draw_sql(seed: int) -> str:
+    """SQL twin of ``uniform_draw("event_id", seed)``."""
+    return f"(('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+
+
+_SAMPLE_SQL = f"SELECT * FROM obs ORDER BY {draw_sql(42)}, event_id LIMIT 500"
+
+
+@register("sample_exact", _with_obs(_SAMPLE_SQL))
 def q_sample_exact(spark, sf):
-    # xxhash64 has no DuckDB twin: rows-only check (plus unit tests for
-    # exact size, determinism and no duplicates).
     return A.sample_exact(observations(spark, sf), 500, seed=42)
 
 
-@register("sample_stats")
+@register("sample_stats", _with_obs(f"""
+SELECT v.*, s.* FROM (
+  SELECT congestion_level AS value, count(*) AS count,
+    CASE WHEN congestion_level = floor(congestion_level) AND congestion_level BETWEEN 0 AND 3
+         THEN {_label_sql('CAST(congestion_level AS INT)')}
+         ELSE 'Level ' || CAST(congestion_level AS VARCHAR) END AS label
+  FROM ({_SAMPLE_SQL}) GROUP BY congestion_level) v
+CROSS JOIN (
+  SELECT count(*) AS total_records, round(avg(congestion_level), 6) AS avg_congestion,
+    round(avg(traffic_volume), 6) AS avg_traffic_volume, round(avg(avg_speed), 6) AS avg_speed,
+    count(DISTINCT location) AS locations FROM ({_SAMPLE_SQL})) s"""))
 def q_sample_stats(spark, sf):
-    _, stats, _ = A.sample_with_stats(observations(spark, sf), 500, seed=42)
-    return stats
+    # the sample's value distribution beside its one row of statistics
+    _, stats, values = A.sample_with_stats(observations(spark, sf), 500, seed=42)
+    return values.crossJoin(F.broadcast(stats)).select(
+        *values.columns, "total_records", _r6("avg_congestion"), _r6("avg_traffic_volume"), _r6("avg_speed"), "locations")
 
 
 @register("congestion_gauge", _with_obs("""

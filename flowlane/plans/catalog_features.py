@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import windows as W
 from ..sources.tables import observations
-from .catalog import _r6, _label_sql, _with_obs, register
+from .catalog import _label_sql, _r6, _with_obs, draw_sql, register
 
 _KEY = ["event_id", "location"]
 
@@ -347,15 +347,30 @@ def q_standard_scale(spark, sf):
     return out.select("event_id", *[_r6(f"{c}_scaled") for c in _SC_COLS])
 
 
+def _stratum_sql(name: str, source: str, share: float) -> str:
+    """CTEs that rank ``source`` into ten strata and mark, per stratum, the rows with
+    the smallest draws: ceil(share * n) rows, allocated by largest remainder."""
+    return f"""
+{name}_r AS (SELECT *, row_number() OVER (ORDER BY congestion_level, event_id) AS r, count(*) OVER () AS n FROM {source}),
+{name}_b AS (SELECT event_id, congestion_level, u, n, CAST(greatest(0, ((r - 1) * 10 + n - 2) // (n - 1) - 1) AS INT) AS bin FROM {name}_r),
+{name}_q AS (SELECT bin, m, n, ceil({share} * n) AS total, ceil({share} * n) * m / n AS exact
+  FROM (SELECT bin, count(*) AS m, any_value(n) AS n FROM {name}_b GROUP BY bin)),
+{name}_k AS (SELECT bin, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, bin)
+  <= total - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM {name}_q),
+{name}_p AS (SELECT b.*, row_number() OVER (PARTITION BY b.bin ORDER BY u, event_id) <= k.quota AS picked
+  FROM {name}_b b JOIN {name}_k k USING (bin))"""
+
+
 @register("stratified_split", _with_obs("""
-SELECT split, CAST(rows AS BIGINT) AS rows FROM (
-  SELECT 'test' AS split, CAST(ceil(0.2 * n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM obs)
-  UNION ALL SELECT 'validation', CAST(ceil(0.125 * (n - ceil(0.2 * n))) AS BIGINT) FROM (SELECT count(*) AS n FROM obs)
-  UNION ALL SELECT 'train', CAST(n - ceil(0.2 * n) - ceil(0.125 * (n - ceil(0.2 * n))) AS BIGINT)
-    FROM (SELECT count(*) AS n FROM obs))"""))
+SELECT split, bin, count(*) AS rows FROM (
+  SELECT t.bin, CASE WHEN t.picked THEN 'test' WHEN v.picked THEN 'validation' ELSE 'train' END AS split
+  FROM t_p t LEFT JOIN v_p v USING (event_id)) GROUP BY split, bin""",
+  f"d AS (SELECT event_id, congestion_level, {draw_sql(42)} AS u FROM obs)," + _stratum_sql("t", "d", 0.2)
+  + ", rest AS (SELECT event_id, congestion_level, u FROM t_p WHERE NOT picked)," + _stratum_sql("v", "rest", 0.125)))
 def q_stratified_split(spark, sf):
+    # rows of each part in each of the ten strata of the target
     s = T.stratified_split(observations(spark, sf).select("event_id", "congestion_level"))
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return W.quantile_bins(s, "congestion_level").groupBy("split", "bin").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("preprocess", _with_obs(
