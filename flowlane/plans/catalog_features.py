@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import windows as W
+from ..schema import LOCATION_BIAS
 from ..sources.tables import observations
 from .catalog import _label_sql, _r6, _with_obs, draw_sql, register
 
@@ -202,7 +203,7 @@ def q_hourly_multiplier(spark, sf):
 
 
 _BIAS_SQL = "CASE location " + " ".join(
-    f"WHEN '{k}' THEN {v}" for k, v in __import__("flowlane.schema", fromlist=["x"]).LOCATION_BIAS.items()) + " ELSE 0 END"
+    f"WHEN '{k}' THEN {v}" for k, v in LOCATION_BIAS.items()) + " ELSE 0 END"
 
 
 @register("congestion_score_rule", _with_obs(f"""

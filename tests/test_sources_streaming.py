@@ -73,6 +73,52 @@ def test_metrics_and_models_roundtrip(spark, obs001, tmpdir_path):
     a = st.apply(obs001).select("event_id", "location_encoded")
     b = r.state.apply(obs001).select("event_id", "location_encoded")
     assert a.subtract(b).count() == 0
+    # one bundle serves a new session
+    from flowlane.plans.serving import predict
+    from flowlane.plans.training import TrainingResult
+    bundle = os.path.join(tmpdir_path, "bundle")
+    r.save(bundle)
+    again = TrainingResult.load(spark, bundle)
+    assert again.features == r.features and set(again.models) == set(r.models)
+    picked = obs001.limit(6).withColumn("model", F.element_at(F.array(
+        F.lit("ensemble"), F.lit("random_forest"), F.lit("nothing")), (F.col("event_id") % 3 + 1).cast("int")))
+    cols = ["event_id", "congestion_value", "model_used"]
+    ours, theirs = (predict(picked, x.models, x.scaler, x.state.encoder, features=x.features).collect() for x in (r, again))
+    assert sorted(tuple(x[c] for c in cols) for x in ours) == sorted(tuple(x[c] for c in cols) for x in theirs)
+    for x in ours:
+        assert x.model_used == ["ensemble", "random_forest", "nothing"][x.event_id % 3]
+        if x.model_used == "random_forest":
+            assert abs(x.congestion_value - min(max(x.model_predictions["random_forest"], 0), 3)) < 0.0051
+
+
+def test_state_fits_columns_without_nulls(spark, obs001):
+    from flowlane.plans.training import preprocess
+    _, state = preprocess(obs001)
+    later = obs001.limit(5).withColumn("temperature", F.lit(None).cast("double"))
+    assert state.apply(later).where("temperature is null").count() == 0
+
+
+def test_absent_inputs_are_left_out(spark, obs001):
+    from flowlane.plans.features import with_interaction_features, with_weather_impact_score
+    out = with_interaction_features(obs001.drop("precipitation", "is_weekend"))
+    assert "storm_severity" not in out.columns and "rush_hour_volume" in out.columns
+    scored = with_weather_impact_score(obs001.drop("precipitation", "wind_speed"))
+    assert scored.where("weather_impact_score is null").count() == 0
+
+
+def test_requests_numbers_and_batch_form(spark):
+    from flowlane.plans.serving import normalise_requests
+    df = spark.createDataFrame([("17.0", "720.5"), ("8", "x")], "hour string, traffic_volume string")
+    assert [(r.hour, r.traffic_volume) for r in normalise_requests(df).collect()] == [(17, 720), (8, 500)]
+    assert [r.is_rush_hour for r in normalise_requests(df, defaults=False).collect()] == [None, None]
+
+
+def test_hours_without_target_are_no_candidates(spark, obs001):
+    from flowlane.operators.profiles import optimal_times
+    holes = obs001.withColumn("congestion_level", F.when(F.col("hour") > 3, F.col("congestion_level")))
+    out = optimal_times(holes).collect()
+    assert all(r.best_hour > 3 and r.worst_hour > 3 for r in out)
+    assert [r.improvement_pct for r in out] == sorted((r.improvement_pct for r in out), reverse=True)
 
 
 def test_stream_equals_batch(spark, tmpdir_path):
