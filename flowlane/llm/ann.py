@@ -186,11 +186,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.mapInArrow(ask, "vec_id long, v array<double>, bound double, cell int")
-    # (cells are bounded by the sample, so these two counts are small tables)
+    # cells are bounded by the sample, so the counts are a small table for all tasks
     x_lots = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("x_lots"))
     asked = written(asked, "queries")
     q_lots = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q_lots"))
-    lots = x_lots.join(q_lots, "cell")
+    lots = F.broadcast(x_lots.join(q_lots, "cell"))
     lot = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     xs = rows.join(lots, "cell").select(
         "cell", lot("x_lots").alias("x_lot"), F.explode(F.sequence(F.lit(0), F.col("q_lots") - 1)).alias("q_lot"),
