@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlane.session import ensure_checkpoint_dir
@@ -54,6 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, key: Column, k: int, *ties: str) -> DataFrame:
+    """At most ``k`` rows of ``df``: those with the smallest hashes ``key`` (a long), ties
+    by the columns named. Rows that cannot be among them are left out by their hash
+    beforehand, so a task passes on its share of the sample, not ``k`` rows."""
+    n = df.count()
+    unit = F.shiftrightunsigned(key, 11).cast("double") * F.lit(2.0 ** -53)
+    return df.where(unit < min(1.0, (1.5 * k + 100) / max(n, 1))).orderBy(unit, *ties).limit(k)
+
+
 def held_out(doc_id="doc_id"):
     """True for the fold no label may be learnt from: crc32(text of id) mod 5 = 0.
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlane.llm.common import hash_sample
+
 FIT_PAGES = 400     # bound of the pages the trees are fitted on
 LAYOUTS = 2         # new layouts made of each of them
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
@@ -403,11 +405,12 @@ def new_layout(paragraphs: list[str], prose: list[str], rng: random.Random) -> s
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees | None:
-    """Fit on at most ``FIT_PAGES`` pages (those with the smallest hashes), and
-    ``LAYOUTS`` new layouts of each; None if there is no page with text."""
+    """Fit on at most ``FIT_PAGES`` pages (those with the smallest hashes, but for
+    pages of over 200,000 characters), and ``LAYOUTS`` new layouts of each; None if
+    there is no page with text."""
     rows = (pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
-            .where("length(html) between 1 and 200000")
-            .orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(FIT_PAGES).collect())
+            .withColumn("h", F.xxhash64("page_id")))
+    rows = hash_sample(rows, F.col("h"), FIT_PAGES, "page_id").where("length(html) between 1 and 200000").collect()
     rng = random.Random(5)
     known, paragraphs = [], []
     for r in rows:
