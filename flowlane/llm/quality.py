@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import held_out
+from flowlane.llm.common import hash_sample, held_out
 
 FIT_ROWS = 20_000   # bound of the labelled rows the tables are fitted on
 BINS = 32
@@ -170,9 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks and that are not held out, the ones with the smallest hashes. That table has a
     fixed size, so it goes to the texts, not the texts to it. Without rows of both labels
     every text gets the same score."""
-    marks = (labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
-             .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    marks = hash_sample(labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
+                        .groupBy("doc_id").agg(F.max("quality").alias("quality")),
+                        F.xxhash64("doc_id"), FIT_ROWS, "doc_id")
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
             .join(F.broadcast(marks), "doc_id"))
 
