@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import held_out, written
+from flowlane.llm.common import hash_sample, held_out, written
 
 ORDER = 5            # letters in a group: four of context and one
 SLOTS = 1 << 19      # hashed slots of each table, a power of two
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .where("doc_id is not null").where(among(marks)).join(marks.hint("merge"), "doc_id"))
     rows = written(rows.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5))), "labelled")
     model = fit_counts(rows.where("fold > 0"))
-    sample = (rows.where("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
+    sample = (hash_sample(rows.where("fold = 0"), F.xxhash64("doc_id", F.lit(1)), CALIBRATION_ROWS, "doc_id")
               .select("text", "toxic").repartition(16))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
