@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import written
+from flowlane.llm.common import hash_sample, written
 from flowlane.llm.vectors import lists, matrix, usable
 
 COLUMNS = 16   # width of a block of rotated columns
@@ -151,7 +151,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     if not total:
         return spark.createDataFrame([], schema)
     # the rows with the smallest hashes: the same at every partitioning
-    drawn = sound.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(sample, max(256, total // 4))).collect()
+    drawn = hash_sample(sound, F.xxhash64("vec_id"), min(sample, max(256, total // 4)), "vec_id", "v").collect()
     anchors = np.array([r.v for r in drawn])
     anchor_ids = np.array([r.vec_id for r in drawn])
     centres = k_means(_augmented(anchors, most), max(1, min(math.ceil(total / per_list), len(anchors) // 16)))
