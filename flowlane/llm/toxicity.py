@@ -19,6 +19,7 @@ to the tasks has a fixed size whatever the corpus.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,6 +133,13 @@ class Model:
     def __init__(self, tables: dict[str, np.ndarray]):
         self.tables = tables
 
+    def __getstate__(self) -> dict:
+        # most slots are empty in a small corpus: what is sent and kept on disks is packed
+        return {n: zlib.compress(t.tobytes(), 1) for n, t in self.tables.items()}
+
+    def __setstate__(self, packed: dict) -> None:
+        self.tables = {n: np.frombuffer(zlib.decompress(t), np.float32) for n, t in packed.items()}
+
     def logs(self, groups: np.ndarray) -> np.ndarray:
         """Toxic less ordinary log-probability of each row's last letter."""
         t = self.tables
@@ -236,29 +244,32 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 class Scorer:
-    """A fitted model with its curve; ``column`` scores a text column."""
+    """A fitted model, as sent to the tasks once, with its curve."""
+
+    def __init__(self, sent, weights: np.ndarray):
+        self.sent, self.weights = sent, weights
 
-    def __init__(self, model: Model, weights: np.ndarray):
-        self.model, self.weights = model, weights
+    @property
+    def model(self) -> Model:
+        return self.sent.value
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = self.model.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def column(self, text: Column) -> Column:
+        """The score of a text column, 0 to 1."""
+        sent, weights = self.sent, self.weights
 
-    def column(self, spark, text: Column) -> Column:
-        sent = spark.sparkContext.broadcast((self.model.tables, self.weights))  # fixed size: SLOTS per table
+        def curve(texts: list[str | None]) -> np.ndarray:
+            x = sent.value.evidence(texts)
+            return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            scorer = Scorer(Model(sent.value[0]), sent.value[1])
             values = texts.tolist()
-            return pd.Series(np.concatenate([scorer.scores(values[k:k + 1000]) for k in range(0, len(values), 1000)] or [
-                np.empty(0)]))
+            return pd.Series(np.concatenate([curve(values[k:k + 1000]) for k in range(0, len(values), 1000)] or [np.empty(0)]))
 
         return score(text)
 
 
-def among(ids: DataFrame, bits: int = 1 << 26):
+def among(ids: DataFrame, bits: int = 1 << 25):
     """A test for a column of ids that every id in ``ids`` (doc_id) passes and, while
     they are fewer than its bits, most others do not: a hashed bitmap of ``bits`` bits,
     whatever the number of ids."""
@@ -294,17 +305,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = Model(sent.value).evidence(b.column(0).to_pylist())
+            x = sent.value.evidence(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], b.column(1)], names=[*columns, "toxic"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(model.tables)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers per table at most
     columns = [f"x{i}" for i in range(TOP + 1)]
     got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         measure, ", ".join(f"{c} double" for c in columns) + ", toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
     if not (0 < y.sum() < len(y)):
-        return Scorer(model, np.array([0.0] * (TOP + 1) + [-30.0]))
-    return Scorer(model, fit_curve(got[columns].to_numpy(), y))
+        return Scorer(sent, np.array([0.0] * (TOP + 1) + [-30.0]))
+    return Scorer(sent, fit_curve(got[columns].to_numpy(), y))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
@@ -317,7 +328,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     """
     scorer = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return (rows.withColumn("score", scorer.column(docs.sparkSession, F.col("text")))
+    return (rows.withColumn("score", scorer.column(F.col("text")))
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
@@ -326,5 +337,5 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
     scorer = fit(docs, labels, id_col, text_col)
     mark = "__toxicity__"
-    return (docs.withColumn(mark, scorer.column(docs.sparkSession, F.col(f"`{text_col}`").cast("string")))
+    return (docs.withColumn(mark, scorer.column(F.col(f"`{text_col}`").cast("string")))
             .where(F.col(mark) < threshold).drop(mark))
