@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlane.llm import packing, pii, quality, simhash, toxicity
 from flowlane.llm.catalog import WORD_VOCABULARY
-from flowlane.llm.common import table, written
+from flowlane.llm.common import ship, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-equal fingerprints stays."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
@@ -33,6 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, as ``op1_packing`` returns them."""
+    ship(spark)
     return packing.pack_documents(docs, WORD_VOCABULARY)
 
 
