@@ -108,10 +108,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen[label].update(split_words(text))
-            if len(seen[0]) + len(seen[1]) > 200_000:
+            if len(seen[0]) + len(seen[1]) > 60_000:
                 flush(seen)
                 seen = [Counter(), Counter()]
-            if len(have) > 500_000:
+            if len(have) > 250_000:
                 yield _groups(have)
                 have = {}
     flush(seen)
@@ -160,7 +160,7 @@ class Model:
             out.append(np.log(np.maximum(np.where(total > 0, p, low), 1e-30)))
         return out[1] - out[0]
 
-    def evidence(self, texts: list[str | None], lot: int = 100_000) -> np.ndarray:
+    def evidence(self, texts: list[str | None], lot: int = 30_000) -> np.ndarray:
         """For each text: its TOP strongest words' evidence, strongest first, and the
         difference of the log-likelihoods per letter. A text without words has zeros."""
         split = [split_words(t) for t in texts]
@@ -264,7 +264,7 @@ class Scorer:
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
             values = texts.tolist()
-            return pd.Series(np.concatenate([curve(values[k:k + 1000]) for k in range(0, len(values), 1000)] or [np.empty(0)]))
+            return pd.Series(np.concatenate([curve(values[k:k + 500]) for k in range(0, len(values), 500)] or [np.empty(0)]))
 
         return score(text)
 
