@@ -13,31 +13,35 @@ length-normalised log-likelihoods (per letter); a logistic curve fitted on label
 into a score.
 
 Counts come from all labelled rows, gathered as partial counts per task and summed
-by Spark; the tables have a fixed number of hashed slots, so the model that is sent
-to the tasks has a fixed size whatever the corpus.
+by Spark. Each group's counts are kept under its 64-bit hash, so the model grows with
+the number of different groups and no two of them share counts. It is written to a
+file in parts and memory-mapped by the tasks.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+import os
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlane.llm.common import hash_sample, held_out, written
 
 ORDER = 5            # letters in a group: four of context and one
-SLOTS = 1 << 19      # hashed slots of each table, a power of two
 DISCOUNT = 0.75
 LETTERS = 256        # assumed size of the alphabet for the uniform end of the chain
 LONGEST = 40         # a longer word is cut into words of this length
 TOP = 3              # strongest words that count
 TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
+PART_ROWS = 1 << 20  # about the rows of the counts that the driver takes at a time
 CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -83,10 +87,6 @@ def keys(groups: np.ndarray) -> np.ndarray:
     return h
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, ordinary, toxic): how often each letter group occurs in the task's rows."""
     have: dict[bytes, list] = {}
@@ -126,37 +126,82 @@ def _groups(have: dict[bytes, list]) -> pa.RecordBatch:
 
 
 class Model:
-    """Hashed count tables. ``own`` and ``context`` by class, ``kinds`` (different
-    letters after a context) by class; ``shared[k]`` and its contexts for the orders
-    below."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.tables = tables
-
-    def __getstate__(self) -> dict:
-        # most slots are empty in a small corpus: what is sent and kept on disks is packed
-        return {n: zlib.compress(t.tobytes(), 1) for n, t in self.tables.items()}
-
-    def __setstate__(self, packed: dict) -> None:
-        self.tables = {n: np.frombuffer(zlib.decompress(t), np.float32) for n, t in packed.items()}
+    """Counts by 64-bit hash of the group, in a file: for each table its sorted hashes
+    and its columns. ``own`` by class, and by class of its contexts their sum and
+    ``kinds`` (different letters after them); ``shared[k]`` and its contexts for the
+    orders below."""
+
+    TABLES = {"own": ("own0", "own1"), "own_context": ("context0_own", "context1_own", "kinds0_own", "kinds1_own")} | {
+        n: c for k in range(1, ORDER) for n, c in ((f"shared{k}", (f"shared{k}",)), (f"context{k}", (f"context{k}", f"kinds{k}")))}
+
+    def __init__(self, path: str):
+        sizes = np.fromfile(path, np.int64, len(self.TABLES))
+        whole = np.memmap(path, np.int64, "r")
+        self.keys, self.tables = {}, {}
+        at = len(sizes)
+        for (name, columns), n in zip(self.TABLES.items(), sizes.tolist(), strict=True):
+            self.keys[name] = np.asarray(whole[at:at + n])
+            for c in columns:
+                at += n
+                self.tables[c] = np.asarray(whole[at:at + n]).view(np.float64)
+            at += n
+
+    @classmethod
+    def write(cls, counts: DataFrame) -> str:
+        """Write rows (part, key, v0 to v3), taken a range of hashes at a time, to a new
+        file; its path."""
+        n = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = [n.get(i, 0) for i in range(len(cls.TABLES))]
+        starts = len(sizes) + np.cumsum([0] + [k * (1 + len(c)) for k, c in zip(sizes, cls.TABLES.values(), strict=True)])
+        with tempfile.NamedTemporaryFile(prefix="letters-", suffix=".bin", delete=False) as f:
+            path = f.name
+        whole = np.memmap(path, np.int64, "w+", shape=(int(starts[-1]),))
+        whole[:len(sizes)] = sizes
+        pieces = max(1, math.ceil(sum(sizes) / PART_ROWS))
+        cuts = [-(1 << 63) + (p << 64) // pieces for p in range(1, pieces)]
+        done = [0] * len(sizes)
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            rows = counts
+            rows = rows if low is None else rows.where(F.col("key") >= low)
+            rows = rows if high is None else rows.where(F.col("key") < high)
+            got = rows.toPandas()
+            part, key = got["part"].to_numpy(np.int64), got["key"].to_numpy(np.int64)
+            for i, columns in enumerate(cls.TABLES.values()):
+                here = np.flatnonzero(part == i)
+                here = here[np.argsort(key[here])]
+                at = int(starts[i]) + done[i]
+                whole[at:at + len(here)] = key[here]
+                for c in range(len(columns)):
+                    at += sizes[i]
+                    whole[at:at + len(here)] = got[f"v{c}"].to_numpy(np.float64)[here].view(np.int64)
+                done[i] += len(here)
+        whole.flush()
+        return path
+
+    def find(self, name: str, groups: np.ndarray) -> list[np.ndarray]:
+        """The columns of table ``name`` at each row's group, 0 where it was never seen."""
+        have, h = self.keys[name], keys(groups).view(np.int64)
+        if not len(have):
+            return [np.zeros(len(h)) for _ in self.TABLES[name]]
+        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+        seen = have[at] == h
+        return [np.where(seen, self.tables[c][at], 0) for c in self.TABLES[name]]
 
     def logs(self, groups: np.ndarray) -> np.ndarray:
         """Toxic less ordinary log-probability of each row's last letter."""
-        t = self.tables
         low = np.full(len(groups), 1.0 / LETTERS)
         for k in range(1, ORDER):
-            g = slots(keys(groups[:, ORDER - k:]))
-            c = slots(keys(groups[:, ORDER - k:-1]))
-            total = t[f"context{k}"][c]
+            n, = self.find(f"shared{k}", groups[:, ORDER - k:])
+            total, kinds = self.find(f"context{k}", groups[:, ORDER - k:-1])
             some = np.maximum(total, 1)
-            p = np.maximum(t[f"shared{k}"][g] - DISCOUNT, 0) / some + DISCOUNT * t[f"kinds{k}"][c] / some * low
+            p = np.maximum(n - DISCOUNT, 0) / some + DISCOUNT * kinds / some * low
             low = np.where(total > 0, p, low)
-        g, c = slots(keys(groups)), slots(keys(groups[:, :-1]))
+        own, context = self.find("own", groups), self.find("own_context", groups[:, :-1])
         out = []
         for label in (0, 1):
-            total = t[f"context{label}_own"][c]
+            total, kinds = context[label], context[2 + label]
             some = np.maximum(total, 1)
-            p = (np.maximum(t[f"own{label}"][g] - DISCOUNT, 0) + DISCOUNT * t[f"kinds{label}_own"][c] * low) / some
+            p = (np.maximum(own[label] - DISCOUNT, 0) + DISCOUNT * kinds * low) / some
             out.append(np.log(np.maximum(np.where(total > 0, p, low), 1e-30)))
         return out[1] - out[0]
 
@@ -182,50 +227,54 @@ class Model:
         return out
 
 
-def fit_counts(labelled: DataFrame) -> Model:
-    """The model of rows (text, toxic): every row is counted."""
+def fit_counts(labelled: DataFrame) -> str:
+    """The model of rows (text, toxic): every row is counted. The name of its file among
+    the job's files."""
     groups = written(labelled.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(
         _count, "group binary, ordinary long, toxic long").groupBy("group").agg(
             F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "groups")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each kind of group: its slots as whole, as context, and of the shared
-        orders below, whose hashes (not slots) tell different groups apart."""
+        """The hashes of each group and of its context, for the whole and for the shared
+        orders below."""
         for b in batches:
             g = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(-1, ORDER)
-            columns = [pa.array(slots(keys(g))), pa.array(slots(keys(g[:, :-1]))), b.column(1), b.column(2)]
+            columns = [pa.array(keys(g).view(np.int64)), pa.array(keys(g[:, :-1]).view(np.int64)), b.column(1), b.column(2)]
             for k in range(1, ORDER):
-                columns += [pa.array(keys(g[:, ORDER - k - 1:]).view(np.int64)), pa.array(keys(g[:, ORDER - k:]).view(np.int64)),
-                            pa.array(keys(g[:, ORDER - k:-1]).view(np.int64))]
+                columns += [pa.array(keys(g[:, ORDER - k:]).view(np.int64)), pa.array(keys(g[:, ORDER - k:-1]).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["g", "c", "ordinary", "toxic"] + [f"{x}{k}" for k in range(1, ORDER) for x in ("left", "g", "c")]
+    names = ["g", "c", "ordinary", "toxic"] + [f"{x}{k}" for k in range(1, ORDER) for x in ("g", "c")]
     h = written(groups.mapInArrow(hashed, ", ".join(f"{n} long" for n in names)), "hashed")
-    tables: dict[str, np.ndarray] = {}
-
-    def take(rows: DataFrame, columns: dict[str, str]) -> None:
-        """``rows`` has at most SLOTS rows: slot and the columns that fill tables."""
-        got = rows.toPandas()
-        for column, name in columns.items():
-            t = np.zeros(SLOTS, np.float32)
-            t[got["slot"].to_numpy(np.int64)] = got[column].to_numpy(np.float32)
-            tables[name] = t
-
-    take(h.groupBy(F.col("g").alias("slot")).agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")),
-         {"o": "own0", "t": "own1"})
-    take(h.groupBy(F.col("c").alias("slot")).agg(
-        F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count_if(F.col("ordinary") > 0).alias("ko"),
-        F.count_if(F.col("toxic") > 0).alias("kt")),
-        {"o": "context0_own", "t": "context1_own", "ko": "kinds0_own", "kt": "kinds1_own"})
-    for k in range(1, ORDER):
-        # continuation count of a group: different letters seen before it
-        kinds = h.select(f"left{k}", f"g{k}", f"c{k}").distinct().groupBy(f"g{k}", f"c{k}").agg(F.count(F.lit(1)).alias("n"))
-        slot = lambda c: F.col(c).bitwiseAND(F.lit(SLOTS - 1))
-        kinds = written(kinds.select(slot(f"g{k}").alias("g"), slot(f"c{k}").alias("c"), "n"), "continuations")
-        take(kinds.groupBy(F.col("g").alias("slot")).agg(F.sum("n").alias("n")), {"n": f"shared{k}"})
-        take(kinds.groupBy(F.col("c").alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")),
-             {"n": f"context{k}", "k": f"kinds{k}"})
-    return Model(tables)
+    tables: dict[str, DataFrame] = {
+        "own": h.groupBy(F.col("g").alias("key")).agg(F.sum("ordinary"), F.sum("toxic")),
+        "own_context": h.groupBy(F.col("c").alias("key")).agg(
+            F.sum("ordinary"), F.sum("toxic"), F.count_if(F.col("ordinary") > 0), F.count_if(F.col("toxic") > 0))}
+    kinds = h
+    for k in range(ORDER - 1, 0, -1):
+        # continuation count of a group: different letters seen before it, that is different groups longer by one
+        below = [f"{x}{i}" for i in range(1, k + 1) for x in ("g", "c")]
+        kinds = written(kinds.groupBy(*below).agg(F.count(F.lit(1)).alias("n")), "continuations")
+        tables[f"shared{k}"] = kinds.select(F.col(f"g{k}").alias("key"), "n")
+        tables[f"context{k}"] = kinds.groupBy(F.col(f"c{k}").alias("key")).agg(F.sum("n"), F.count(F.lit(1)))
+    counts = None
+    for i, name in enumerate(Model.TABLES):
+        key, *columns = tables[name].columns
+        filled = [F.col(f"`{c}`").cast("double") for c in columns] + [F.lit(0.0)] * (4 - len(columns))
+        rows = tables[name].select(F.lit(i).alias("part"), key, *[c.alias(f"v{j}") for j, c in enumerate(filled)])
+        counts = rows if counts is None else counts.union(rows)
+    path = Model.write(written(counts, "counts"))
+    labelled.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+_OPEN: dict[str, Model] = {}
+
+
+def _opened(name: str) -> Model:
+    if name not in _OPEN:
+        _OPEN[name] = Model(SparkFiles.get(name))
+    return _OPEN[name]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -244,21 +293,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 class Scorer:
-    """A fitted model, as sent to the tasks once, with its curve."""
+    """A fitted model, by its name among the job's files, with its curve."""
 
-    def __init__(self, sent, weights: np.ndarray):
-        self.sent, self.weights = sent, weights
+    def __init__(self, name: str, weights: np.ndarray):
+        self.name, self.weights = name, weights
 
     @property
     def model(self) -> Model:
-        return self.sent.value
+        return _opened(self.name)
 
     def column(self, text: Column) -> Column:
         """The score of a text column, 0 to 1."""
-        sent, weights = self.sent, self.weights
+        name, weights = self.name, self.weights
 
         def curve(texts: list[str | None]) -> np.ndarray:
-            x = sent.value.evidence(texts)
+            x = _opened(name).evidence(texts)
             return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
         @F.pandas_udf("double")
@@ -299,23 +348,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
             .where("doc_id is not null").where(among(marks)).join(marks.hint("merge"), "doc_id"))
     rows = written(rows.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5))), "labelled")
-    model = fit_counts(rows.where("fold > 0"))
+    name = fit_counts(rows.where("fold > 0"))
     sample = (hash_sample(rows.where("fold = 0"), F.xxhash64("doc_id", F.lit(1)), CALIBRATION_ROWS, "doc_id")
               .select("text", "toxic").repartition(16))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = sent.value.evidence(b.column(0).to_pylist())
+            x = _opened(name).evidence(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], b.column(1)], names=[*columns, "toxic"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers per table at most
     columns = [f"x{i}" for i in range(TOP + 1)]
     got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         measure, ", ".join(f"{c} double" for c in columns) + ", toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
     if not (0 < y.sum() < len(y)):
-        return Scorer(sent, np.array([0.0] * (TOP + 1) + [-30.0]))
-    return Scorer(sent, fit_curve(got[columns].to_numpy(), y))
+        return Scorer(name, np.array([0.0] * (TOP + 1) + [-30.0]))
+    return Scorer(name, fit_curve(got[columns].to_numpy(), y))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,

@@ -71,6 +71,24 @@ def test_kneser_ney_shares_are_whole(labelled):
         assert t[f"shared{k}"].sum() == t[f"context{k}"].sum() > 0
 
 
+def test_every_letter_group_has_its_own_counts(spark):
+    """However many groups there are, none gets another's counts."""
+    from collections import Counter
+    rng = random.Random(9)
+    words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(6)) for _ in range(40_000)]
+    rows = [(" ".join(words[k::40]), int(k % 4 == 0)) for k in range(40)]
+    model = toxicity._opened(toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    want = [Counter(), Counter()]
+    for text, toxic in rows:
+        want[toxic].update(g.tobytes() for g in toxicity.letters(text.split())[0])
+    groups = list(want[0] | want[1])
+    assert len(groups) > 200_000 and np.count_nonzero(model.tables["own0"] + model.tables["own1"]) == len(groups)
+    got = model.find("own", np.frombuffer(b"".join(groups), np.uint32).reshape(-1, toxicity.ORDER))
+    for label in (0, 1):
+        assert got[label].tolist() == [want[label][g] for g in groups]
+    assert np.array_equal(model.tables["shared4"].sum(), len(groups))
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
