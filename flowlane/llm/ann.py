@@ -63,18 +63,24 @@ def rotation(dims: int, seed: int = 11) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= floor)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+    """Positions of the k ids with the largest scores, each once at its best; ties to
+    the smaller id."""
+    some, m = np.arange(len(scores)), 4 * k
+    while len(scores) > m:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - m)[len(scores) - m])
+        if len(np.unique(ids[at])) >= k:
+            some = at
+            break
+        m *= 4
+    order = some[np.lexsort((ids[some], -scores[some]))]
+    first = np.unique(ids[order], return_index=True)[1]
+    return order[np.sort(first)[:k]]
 
 
 def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, most: float,
          turn: np.ndarray, k: int, block: int = 1024) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query position, row positions, scores) of each query's best ``k`` rows whose
-    score reaches its ``bound``."""
+    """(query position, row positions, scores) of each query's best ``k`` ids, by the
+    best row of each, whose score reaches its ``bound``."""
     dims = turn.shape[0]
     zx = _augmented(x, most) @ turn
     zq = np.hstack([q, np.zeros((len(q), 1))]) @ turn
@@ -145,15 +151,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     sound, dims = usable(vectors, id_col, vector_col)
-    sound = sound.where("vec_id is not null")
+    # copies of a row count once, or a repeated one would fill samples and lists
+    sound = written(sound.where("vec_id is not null").dropDuplicates(["vec_id", "v"]), "distinct") if dims else sound
     total, most = sound.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate(
         "v", F.lit(0.0), lambda a, x: a + x * x)))).head() if dims else (0, None)
     if not total:
         return spark.createDataFrame([], schema)
     # the rows with the smallest hashes: the same at every partitioning
-    drawn = hash_sample(sound, F.xxhash64("vec_id"), min(sample, max(256, total // 4)), "vec_id", "v").collect()
+    drawn = hash_sample(sound, F.xxhash64("vec_id", "v"), min(sample, max(256, total // 4)), "vec_id", "v").collect()
     anchors = np.array([r.v for r in drawn])
     anchor_ids = np.array([r.vec_id for r in drawn])
+    asking = np.sort(np.unique(anchor_ids, return_index=True)[1])[:probes_from]  # an id asks once
+    by_id = np.argsort(anchor_ids, kind="stable")
+    one_id, starts = np.unique(anchor_ids[by_id], return_index=True)
     centres = k_means(_augmented(anchors, most), max(1, min(math.ceil(total / per_list), len(anchors) // 16)))
     cells = len(centres)
 
@@ -163,15 +173,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["vec_id", "v", "cell"])
 
     rows = written(sound.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "lists")
-    probes = _probes(rows, dims, anchors[:probes_from], anchor_ids[:probes_from], centres, most, k, recall)
+    probes = _probes(rows, dims, anchors[asking], anchor_ids[asking], centres, most, k, recall)
 
     def ask(batches):
         for b in batches:
             q, ids = matrix(b.column(1), dims), b.column(0).to_numpy()
             bound = np.empty(len(q))
             for f in range(0, len(q), 256):
-                s = q[f:f + 256] @ anchors.T
-                s[ids[f:f + 256, None] == anchor_ids[None, :]] = -np.inf
+                s = np.maximum.reduceat((q[f:f + 256] @ anchors.T)[:, by_id], starts, axis=1)
+                s[ids[f:f + 256, None] == one_id[None, :]] = -np.inf
                 bound[f:f + 256] = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else -np.inf
             # the product of the scan may differ in the last digits
             bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1, np.abs(bound)), -1e300)
@@ -259,6 +269,7 @@ def _probes(rows: DataFrame, dims: int, queries: np.ndarray, ids: np.ndarray, ce
 
     order = Window.partitionBy("p").orderBy(F.desc("score"), "vec_id")
     exact = (rows.mapInArrow(top, "p long, score double, vec_id long, cell long")
+             .groupBy("p", "vec_id").agg(F.max("score").alias("score"), F.max_by("cell", F.struct("score", "cell")).alias("cell"))
              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("p", "cell").collect())
     if not exact:
         return len(centres)

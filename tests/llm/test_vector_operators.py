@@ -110,3 +110,38 @@ def test_fewer_candidates_than_asked(spark):
                                "vec_id long, embedding array<double>")
     got = sorted(map(tuple, ann.search(df).collect()))
     assert got == [(20, 1, 21, 0.5), (20, 2, 22, 0.5), (20, 3, 40, 0.0), (40, 1, 21, 1.0), (40, 2, 22, 1.0), (40, 3, 20, 0.0)]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_an_id_on_a_third_of_the_rows_is_one_neighbour(spark, apart):
+    """Its rows, different or all the same, take one place each among a query's neighbours."""
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 12)))]
+    near = 3 * np.array(rows[0][1])
+    rows += [(1001, (near + apart * 0.01 * rng.normal(size=12)).tolist()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, k=20, every=200, per_list=150, sample=256, chunk=120).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [0, 200, 400]
+    hits = 0
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(v, rows[q][1])))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and len({i for _, i, _ in found}) == 20
+        assert all(abs(best[i] - s) < 1e-9 for _, i, s in found)
+        hits += len(set(want) & {i for _, i, _ in found})
+    assert hits >= 0.85 * 60
+
+
+def test_best_names_an_id_once():
+    ids = np.array([7] * 200 + list(range(100, 130)))
+    scores = np.concatenate([np.linspace(2, 3, 200), np.linspace(0, 1, 30)])
+    top = ann.best(scores, ids, 20)
+    assert ids[top].tolist() == [7] + list(range(129, 110, -1)) and scores[top[0]] == 3
+    turn = ann.rotation(2)
+    (_, rows, values), = ann.scan(np.array([[1.0]]), np.array([0]), np.array([-1e300]), scores[:, None], ids, 3.0, turn, 20)
+    assert ids[rows].tolist() == ids[top].tolist() and np.allclose(values, scores[top])
