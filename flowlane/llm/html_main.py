@@ -42,7 +42,11 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer "
                "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-        "th": {"td", "th"}, "option": {"option"}}
+        "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+#: What a head may hold; any other start tag ends an open head.
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Start tags that end an open element of this name in which they stand.
+ENDS = {"select": set("select input textarea caption table tbody tfoot thead tr td th".split()), "button": {"button"}}
 HOLDS = {"ul", "ol", "dl", "table", "body", "html", "div", "section", "article", "main", "aside", "nav"}
 
 #: Words in class, id, role, itemprop and aria-label, by what they speak for.
@@ -88,9 +92,22 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]   # (name, block it belongs to)
         dropped = links = at = 0
         n = len(text)
+
+        def leave(k: int) -> None:
+            """End the open elements from place ``k`` of the stack on."""
+            nonlocal dropped, links
+            gone = stack[k:]
+            del stack[k:]
+            dropped -= sum(s in DROPPED for s, _ in gone)
+            links -= sum(s == "a" for s, _ in gone)
+            if any(s not in INLINE for s, _ in gone):
+                self.runs.append((stack[-1][1], None, False))
+
         while at < n:
             m = TOKEN.search(text, at)
             end = m.start() if m else n
+            if stack[-1][0] == "head" and text[at:end].strip():
+                leave(len(stack) - 1)  # text ends a head
             if end > at and not dropped:
                 self.runs.append((stack[-1][1], text[at:end], links > 0))
             if not m:
@@ -110,15 +127,27 @@ class Page:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 if not k or name in INLINE and any(s not in INLINE for s, _ in stack[k + 1:]):
                     continue
-                gone = stack[k:]
-                del stack[k:]
-                dropped -= sum(s in DROPPED for s, _ in gone)
-                links -= sum(s == "a" for s, _ in gone)
-                if any(s not in INLINE for s, _ in gone):
-                    self.runs.append((stack[-1][1], None, False))
+                leave(k)
                 continue
             if name in ("html", "body") and any(s == name for s, _ in stack) and name == "html":
                 continue
+            if name == "head" and (len(stack) > 1 or len(self.tag) > 1):
+                continue  # only the first thing of a page is its head
+            if name == "body" or stack[-1][0] == "head" and name not in IN_HEAD:
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
+                if k:
+                    leave(k)
+            for kind, by in ENDS.items():
+                if name in by:
+                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == kind), 0)
+                    if k:
+                        leave(k)
+                    if k and name == "select":
+                        break
+            else:
+                kind = None
+            if kind:
+                continue  # a select within a select only ends it
             if name in CLOSES_P or name in SAME:
                 close = SAME.get(name, set()) | ({"p"} if name in CLOSES_P else set())
                 for k in range(len(stack) - 1, 0, -1):

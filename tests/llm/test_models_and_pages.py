@@ -120,6 +120,27 @@ def test_main_text(trees):
     assert html_main.main_texts([None, ""], None) == ["", ""]
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", "", "<div>"])
+def test_main_text_without_an_end_of_the_head(trees, start):
+    head, body = LAYOUT.split("</head><body>")
+    assert html_main.main_texts([head + start + body], trees) == [TEXT]
+
+
+def test_implied_ends_of_what_is_dropped():
+    def seen(text):
+        page = html_main.Page(text)
+        return " ".join(page.text(np.ones(len(page.tag), bool)).split())
+    assert seen("<head><title>No</title><noscript><p>No</p></noscript>Yes <p>more") == "Yes more"
+    assert seen("<head><meta charset=utf-8><p>Yes") == "Yes"
+    assert seen("<head><template><p>No</template><link rel=x><article>Yes") == "Yes"
+    assert seen("<body><p>Yes<head><p>more") == "Yes more"
+    assert seen("<select><option>No<option>No<select><p>Yes") == "Yes"
+    assert seen("<select><optgroup><option>No<optgroup><option>No</select><p>Yes") == "Yes"
+    assert seen("<table><tr><td><select><option>No<tr><td>Yes</table>") == "Yes"
+    assert seen("<p>Yes<select><option>No<input name=q> more") == "Yes more"
+    assert seen("<button>No<button>No</button><p>Yes") == "Yes"
+
+
 def test_decoding_has_no_contradictions(trees):
     page = html_main.Page(LAYOUT)
     rng = np.random.default_rng(1)
