@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import hash_sample
-
 FIT_PAGES = 400     # bound of the pages the trees are fitted on
+FIT_BLOCKS = 1000   # bound of the blocks that one page gives, spread evenly over it
+FIT_TEXTS, FIT_CHARS = 20, 20_000  # bounds of the texts one page gives to new layouts, and of their length
 LAYOUTS = 2         # new layouts made of each of them
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
 
@@ -433,26 +434,65 @@ def new_layout(paragraphs: list[str], prose: list[str], rng: random.Random) -> s
     return f"<html><body>{inner}</body></html>"
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees | None:
-    """Fit on at most ``FIT_PAGES`` pages (those with the smallest hashes, but for
-    pages of over 200,000 characters), and ``LAYOUTS`` new layouts of each; None if
-    there is no page with text."""
+SENTENCES = """The river rose for three days before anyone thought of moving the boats
+A small committee met in the old school, and it wrote down what had been lost
+Most of the figures in the report were taken from the year before
+She had walked the same road every morning, whatever the weather
+Nobody could say how the fire had started, but many had seen it
+The new bridge carries about nine thousand cars, bicycles and lorries a day
+After the harvest the fields were left to the geese
+Engineers tested the valve twice, found nothing, and tested it again
+His second book sold better than the first, which he never understood
+Bread was cheap that winter, while coal was not to be had at all
+The court will hear both sides in the spring
+Visitors are asked to leave their bags at the door""".split("\n")
+
+
+def learnt_from(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What a page gives to the fit: features and labels of its blocks (none without
+    a known label), and texts for new layouts."""
+    page = Page(text)
+    y = page.labels()
+    texts = [t for t in (" ".join(entities.unescape(s[:FIT_CHARS]).split())
+                         for b, s, _ in page.runs if s is not None and (y[b] or not y.any())) if t][:FIT_TEXTS]
+    if not y.any():
+        return np.empty((0, len(NAMES))), np.empty(0), texts
+    some = np.unique(np.linspace(0, len(y) - 1, min(len(y), FIT_BLOCKS)).astype(int))
+    return page.features()[some], y[some], texts
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
+    """Fit on at most ``FIT_PAGES`` different pages that are not blank (those with the
+    smallest hashes of id and html), of any length, and ``LAYOUTS`` new layouts of each;
+    on layouts of built-in sentences if no such page has text."""
     rows = (pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
-            .withColumn("h", F.xxhash64("page_id")))
-    rows = hash_sample(rows, F.col("h"), FIT_PAGES, "page_id").where("length(html) between 1 and 200000").collect()
+            .where(F.col("html").rlike(r"\S")).select(F.xxhash64("page_id", "html").alias("h"), "html"))
+    drawn = [r.h for r in rows.select("h").distinct().orderBy("h").limit(FIT_PAGES).collect()]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # at most FIT_PAGES hashes
+        for b in batches:
+            for h, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    x, y, texts = learnt_from(text.as_py())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([h], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)]), pa.array([y.tobytes()]),
+                        pa.array([texts], pa.list_(pa.string()))], names=["h", "x", "y", "texts"])
+
+    got = (rows.where(F.col("h") <= drawn[-1]).mapInArrow(learn, "h long, x binary, y binary, texts array<string>")
+           .dropDuplicates(["h"]).collect()) if drawn else []
     rng = random.Random(5)
     known, paragraphs = [], []
-    for r in rows:
-        page = Page(r.html)
-        y = page.labels()
-        texts = [t for t in (" ".join(entities.unescape(s).split()) for b, s, _ in page.runs if s is not None and (y[b] or not y.any())) if t]
-        if texts:
-            paragraphs.append(texts)
-        if y.any():
-            known.append((page.features(), y))
+    for r in sorted(got, key=lambda r: r.h):
+        if r.texts:
+            paragraphs.append(r.texts)
+        if r.y:
+            known.append((np.frombuffer(zlib.decompress(r.x)).reshape(-1, len(NAMES)), np.frombuffer(r.y)))
     if not paragraphs:
-        return None
-    prose = [s.strip() + "." for texts in paragraphs for t in texts[:20] for s in t.split(".")[:3] if len(s.split()) > 2]
+        paragraphs = [[". ".join(rng.sample(SENTENCES, rng.randint(1, 4))) + "." for _ in range(rng.randint(1, 9))]
+                      for _ in range(FIT_PAGES)]
+    prose = [s.strip() + "." for texts in paragraphs for t in texts for s in t.split(".")[:3] if len(s.split()) > 2]
     prose = prose or [t for texts in paragraphs for t in texts]
     for texts in paragraphs:
         for _ in range(LAYOUTS):

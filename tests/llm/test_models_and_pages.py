@@ -141,6 +141,21 @@ def test_implied_ends_of_what_is_dropped():
     assert seen("<button>No<button>No</button><p>Yes") == "Yes"
 
 
+def test_pages_are_never_emptied_by_what_else_is_in_the_table(spark):
+    """Long pages are learnt from, blank ones take no place in the sample, and without
+    any page to learn from there is still a model."""
+    long = LAYOUT.replace("var t", "var u='" + "x" * 210_000 + "';var t")
+    schema = "page_id long, url string, html string"
+    got = html_main.extract(spark.createDataFrame([(k, None, long + f"<p>{k}") for k in range(3)], schema)).collect()
+    assert [r.text for r in got] == [TEXT] * 3
+    rows = [(None, None, t) for t in (None, "", " \n") for _ in range(200)] + [(k % 2 or None, None, LAYOUT + f"<p>{k}") for k in range(20)]
+    got = [r.text for r in html_main.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got) == [""] * 600 + [TEXT] * 20
+    built_in = html_main.fit(spark.createDataFrame([(1, None, "<script>x</script>"), (2, None, None)], schema))
+    text, = html_main.main_texts([LAYOUT], built_in)
+    assert "Second <tag> here" in text and "Menu" not in text and "all rights" not in text
+
+
 def test_decoding_has_no_contradictions(trees):
     page = html_main.Page(LAYOUT)
     rng = np.random.default_rng(1)
