@@ -42,7 +42,7 @@ LONGEST = 40         # a longer word is cut into words of this length
 TOP = 3              # strongest words that count
 TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
 PART_ROWS = 1 << 20  # about the rows of the counts that the driver takes at a time
-CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on
+CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on, half of them for each class
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,11 +277,12 @@ def _opened(name: str) -> Model:
     return _OPEN[name]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic curve (the last one is the constant) by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic curve (the last one is the constant) by Newton steps; each
+    row counts ``times``."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, TOXIC_WEIGHT, 1.0)
+    weight = np.where(y == 1, TOXIC_WEIGHT, 1.0) * times
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
@@ -340,17 +341,36 @@ def among(ids: DataFrame, bits: int = 1 << 25):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and that are
     not held out. Four fifths of them give the counts, of the rest at most
-    ``CALIBRATION_ROWS`` the curve. Without rows of both classes every text scores 0.
+    ``CALIBRATION_ROWS`` the curve, drawn by class. A class of two ids or more is in both
+    parts. Where the rest lacks a class, the two length-normalised likelihoods are
+    compared as they are. Without rows of both classes every text scores 0.
     """
     marks = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     marks = marks.where(~held_out())
     # only texts that may be labelled are shuffled to their labels, at any size alike
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
             .where("doc_id is not null").where(among(marks)).join(marks.hint("merge"), "doc_id"))
-    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5))), "labelled")
-    name = fit_counts(rows.where("fold > 0"))
-    sample = (hash_sample(rows.where("fold = 0"), F.xxhash64("doc_id", F.lit(1)), CALIBRATION_ROWS, "doc_id")
-              .select("text", "toxic").repartition(16))
+    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(5)))
+    rows = written(rows.withColumn("fold", F.pmod("h", F.lit(5))), "labelled")
+    at = F.struct("h", "doc_id")
+    parts = {r.toxic: r for r in rows.groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("fold") == 0).alias("n0"),
+        F.min(at).alias("low"), F.max(at).alias("high")).collect()}
+    rest = F.col("fold") == 0
+    for toxic, r in parts.items():
+        if r.n0 in (0, r.n):  # a class all on one side: its first id alone calibrates, if there is another one
+            first = (F.col("h") == r.low.h) & (F.col("doc_id") == r.low.doc_id) if r.low != r.high else F.lit(False)
+            rest = F.when(F.col("toxic") == toxic, first).otherwise(rest)
+    name = fit_counts(rows.where(~rest))
+    sample, sizes = None, {}
+    for toxic in sorted(parts):
+        some = rows.where(rest & (F.col("toxic") == toxic))
+        sizes[toxic] = some.count()
+        some = hash_sample(some, F.xxhash64("doc_id", F.lit(1)), CALIBRATION_ROWS // 2, "doc_id").select("text", "toxic")
+        sample = some if sample is None else sample.union(some)
+    if len(parts) < 2:
+        return Scorer(name, np.array([0.0] * (TOP + 1) + [-30.0]))
+    sample = sample.repartition(16)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,8 +382,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         measure, ", ".join(f"{c} double" for c in columns) + ", toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
     if not (0 < y.sum() < len(y)):
-        return Scorer(name, np.array([0.0] * (TOP + 1) + [-30.0]))
-    return Scorer(name, fit_curve(got[columns].to_numpy(), y))
+        # toxic where it is the likelier one; a text without evidence is ordinary
+        return Scorer(name, np.array([0.0] * TOP + [1.0, -1e-9]))
+    # a class of which not all rows were drawn keeps its share
+    times = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    return Scorer(name, fit_curve(got[columns].to_numpy(), y, times * len(y) / times.sum()))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,

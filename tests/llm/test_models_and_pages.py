@@ -89,6 +89,23 @@ def test_every_letter_group_has_its_own_counts(spark):
     assert np.array_equal(model.tables["shared4"].sum(), len(groups))
 
 
+@pytest.mark.parametrize("toxic", [1, 2, 3])
+def test_few_toxic_labels_still_tell(spark, toxic):
+    """However the few toxic ids fall, the models are used."""
+    import zlib
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["ba", "do", "ki", "lu", "men", "ra"]) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    spread = spark.createDataFrame([(i,) for i in ids], "doc_id long").where("pmod(xxhash64(doc_id, 5), 5) > 0").collect()
+    marked = {r.doc_id for r in spread[:toxic]}  # none of them in the calibration's fifth
+    docs = [(i, " ".join(rng.choice(words) for _ in range(20)) + (" zgrrx vuxxo qwyzz" * 5 if i in marked else "")) for i in ids]
+    docs += [(10_001, "zgrrx vuxxo qwyzz zgrrx vuxxo"), (10_002, "ba do ki lu men ra badoki"), (10_003, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in marked)) for i in ids], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(d, labels).where("doc_id > 10000").collect()}
+    assert got[10_001] >= 0.5 > max(got[10_002], got[10_003])
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
