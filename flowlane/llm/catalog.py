@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlane.llm import ann, bpe, embed_dedup, html_main, packing, pii, quality, simhash, toxicity, warc
+from flowlane.llm import (
+    ann, audit, bitslice, bpe, embed_dedup, hard_negatives, html_main, packing, pii, quality, simhash, toxicity, warc)
 from flowlane.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,8 +63,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def relabelled(vectors: DataFrame) -> DataFrame:
+    """The label of an id divisible by 7 becomes the next one of 0 to 9."""
+    return vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op8_html, op9_simhash, op10_warc)}
+    f.__name__: f for f in (op1_packing, op2_quality, op3_toxicity, op4_embed_dedup, op5_bpe, op6_ann, op7_pii, op8_html, op9_simhash, op10_warc,
+        op11_filter_audit, op12_hard_negatives, op13_exact_topk)}
 
 #: The plain patterns, in the language of the SQL engine (no look-behind needed).
 _PII_SQL = {
@@ -104,7 +123,51 @@ select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)},
 from d left join a using (doc_id)"""
 
 
+#: Rows whose vector takes part, as whole numbers (x); used by the two exact searches.
+_WHOLE_SQL = """
+e as (select *, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+      where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": """
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, min(doc_id) over (partition by t) as least from d),
+m as (select part, (case when len(ws) < 50 then 1 else 0 end) + (case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 2 else 0 end)
+             + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 4 else 0 end)
+             + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > least then 16 else 0 end) as fails,
+             coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic from w left join labels using (doc_id)),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(l, b)),
+o as (select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+      from f a, f b, f c, f d, f e where len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s as (select filter_order, i as step, bits[i] as bit, coalesce(list_sum(bits[1:i - 1]), 0)::int as before
+      from o, range(1, 6) as r(i)),
+r as (select part, filter_order, step, bit,
+             coalesce(sum(n) filter (fails & (before | bit) = 0), 0) as kept,
+             coalesce(sum(n) filter (fails & before = 0 and fails & bit <> 0), 0) as removed,
+             coalesce(sum(n) filter (fails & before <> 0 and fails & bit <> 0), 0) as redundant,
+             coalesce(sum(n) filter (fails = bit), 0) as unique_fails,
+             coalesce(sum(good) filter (fails & before = 0 and fails & bit <> 0), 0) as good_lost,
+             coalesce(sum(toxic) filter (fails & before = 0 and fails & bit <> 0), 0) as toxic_lost
+      from c, s group by part, filter_order, step, bit)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+       unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       (sum(removed) over (partition by part, bit))::bigint as shapley
+from r""",
+    "op12_hard_negatives": "with " + _WHOLE_SQL.strip() + """,
+l as (select vec_id, x, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from e where label is not null),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_dot_product(a.x, b.x)::bigint as score
+      from l a join l b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5""",
+    "op13_exact_topk": "with " + _WHOLE_SQL.strip() + """
+select a.vec_id as query_id, (row_number() over (partition by a.vec_id order by list_dot_product(a.x, b.x) desc, b.vec_id))::int as rank,
+       b.vec_id, list_dot_product(a.x, b.x)::bigint as score
+from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 qualify rank <= 5""",
     "op7_pii": _pii_sql(),
     "op4_embed_dedup": """
 with recursive u as (
