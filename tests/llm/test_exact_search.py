@@ -134,7 +134,8 @@ def test_bit_sliced_sums_and_selection():
 
 def test_feasible_ranges_keep_every_row_that_reaches():
     rng = np.random.default_rng(6)
-    x = np.floor(rng.normal(size=(500, 16)) * rng.uniform(50, 60, (500, 1)))
+    x = rng.normal(size=(500, 16))
+    x = np.floor(x / np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(240, 260, (500, 1)))
     x[::50] = 0
     index = hard_negatives.bucket(np.arange(500), np.zeros(500, np.int64), x)
     pruned = 0
