@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, and the folder's path there."""
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[len("file:"):]
+    return fs.FileSystem.from_uri(folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Hand this package to the executors' Python workers (as ``--py-files`` would),
     once a session, for sessions whose workers do not have it installed."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import hash_sample, held_out
+from flowlane.llm.common import free_name, hash_sample, held_out, ship
 
 FIT_ROWS = 20_000   # bound of the labelled rows the tables are fitted on
 BINS = 32
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks and that are not held out, the ones with the smallest hashes. That table has a
     fixed size, so it goes to the texts, not the texts to it. Without rows of both labels
     every text gets the same score."""
+    ship(docs.sparkSession)
     marks = hash_sample(labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
                         .groupBy("doc_id").agg(F.max("quality").alias("quality")),
                         F.xxhash64("doc_id"), FIT_ROWS, "doc_id")
@@ -214,8 +215,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns,
+    whatever these are called. Rows with a null id and repeated rows are each judged by
+    their text; a null text counts as empty. An empty table gives no rows."""
     model = fit(docs, labels, id_col, text_col)
-    mark = "__quality__"
+    mark = free_name(docs, "quality")
     return (docs.withColumn(mark, scored(model, F.col(f"`{text_col}`").cast("string")))
             .where(F.col(mark) >= threshold).drop(mark))

@@ -14,17 +14,19 @@ into a score.
 
 Counts come from all labelled rows, gathered as partial counts per task and summed
 by Spark. Each group's counts are kept under its 64-bit hash, so the model grows with
-the number of different groups and no two of them share counts. It is written to a
-file in parts and memory-mapped by the tasks.
+the number n of different groups, and two of them share counts with a probability of
+n^2 / 2^65. Tasks write it in pieces, by ranges of the hash, to the shared folder; the
+pieces become files of the job, which the tasks that score memory-map. A worker keeps
+the evidence of the words it has met, a bounded number of them, from batch to batch.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,15 +35,17 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import hash_sample, held_out, written
+from flowlane.llm.common import free_name, hash_sample, held_out, place, ship, work_folder, written
 
 ORDER = 5            # letters in a group: four of context and one
 DISCOUNT = 0.75
 LETTERS = 256        # assumed size of the alphabet for the uniform end of the chain
-LONGEST = 40         # a longer word is cut into words of this length
-TOP = 3              # strongest words that count
+TOP = 3              # strongest words that count one by one
 TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
-PART_ROWS = 1 << 20  # about the rows of the counts that the driver takes at a time
+PIECE_ROWS = 1 << 20  # about the rows of the counts in one file
+CACHED = 200_000     # words whose evidence a worker keeps
+LOT = 2_000_000      # characters of the texts that are scored at a time
+SLICE = 500_000      # letter groups that are looked at at a time
 CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on, half of them for each class
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -49,33 +53,28 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def split_words(text: str | None) -> list[str]:
     """Lower-case words, cut at white space and stripped of signs at their ends."""
-    out = []
-    for w in (text or "").lower().split():
-        w = w.strip(SIGNS)
-        if w:
-            out += [w] if len(w) <= LONGEST else [w[k:k + LONGEST] for k in range(0, len(w), LONGEST)]
-    return out
+    return [w for w in (x.strip(SIGNS) for x in (text or "").lower().split()) if w]
 
 
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¿¡…–—"
 
 
-def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of all words as rows of ORDER code points (1 before a word,
-    2 after it), and the word each row belongs to."""
+def letters(words: list[str], some: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All positions of all words, a slice of them at a time, as rows of ORDER code
+    points (1 before a word, 2 after it), and the word each row belongs to."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
     width = n + ORDER           # ORDER - 1 starts, the letters, one end
-    total = int(width.sum())
     ends = np.cumsum(width)
-    line = np.ones(total, np.uint32)
+    line = np.ones(int(width.sum()), np.uint32)
     line[ends - 1] = 2
-    at = np.arange(len(flat)) + np.repeat(ORDER * np.arange(len(words)) + ORDER - 1, n)
-    line[at] = flat
+    line[np.arange(len(flat)) + np.repeat(ORDER * np.arange(len(words)) + ORDER - 1, n)] = flat
     # a group starts wherever ORDER places of the same word follow
     word = np.repeat(np.arange(len(words)), n + 1)
-    start = np.arange(int((n + 1).sum())) + np.repeat((ORDER - 1) * np.arange(len(words)), n + 1)
-    return line[start[:, None] + np.arange(ORDER)], word
+    for k in range(0, len(word), some):
+        w = word[k:k + some]
+        start = np.arange(k, k + len(w)) + (ORDER - 1) * w
+        yield line[start[:, None] + np.arange(ORDER)], w
 
 
 def keys(groups: np.ndarray) -> np.ndarray:
@@ -88,41 +87,28 @@ def keys(groups: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, ordinary, toxic): how often each letter group occurs in the task's rows."""
-    have: dict[bytes, list] = {}
-
-    def flush(seen: list[Counter]) -> None:
-        for label in (0, 1):
-            words = list(seen[label])
-            if not words:
-                continue
-            groups, word = letters(words)
-            times = np.fromiter(seen[label].values(), np.int64, len(words))[word]
-            raw = np.ascontiguousarray(groups).view([("", np.uint32)] * ORDER).ravel()
-            kinds, where = np.unique(raw, return_inverse=True)
-            sums = np.bincount(where, weights=times).astype(np.int64)
-            for g, s in zip(kinds, sums.tolist(), strict=True):
-                have.setdefault(g.tobytes(), [0, 0])[label] += s
+    """(group, ordinary, toxic): how often letter groups occur in the task's rows, to be
+    added up."""
+
+    def flush(seen: list[Counter]) -> Iterator[pa.RecordBatch]:
+        for label, words in enumerate(seen):
+            times = np.fromiter(words.values(), np.int64, len(words))
+            for groups, word in letters(list(words)):
+                _, first, kind = np.unique(keys(groups), return_index=True, return_inverse=True)
+                sums = np.bincount(kind, weights=times[word]).astype(np.int64)
+                cells = pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(4 * ORDER), len(first), [None, pa.py_buffer(np.ascontiguousarray(groups[first]).tobytes())])
+                counts = [pa.array(sums if c == label else np.zeros_like(sums)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([cells.cast(pa.binary()), *counts], names=["group", "ordinary", "toxic"])
 
     seen = [Counter(), Counter()]
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen[label].update(split_words(text))
-            if len(seen[0]) + len(seen[1]) > 60_000:
-                flush(seen)
+            if len(seen[0]) + len(seen[1]) > CACHED or len(text or "") > LOT:
+                yield from flush(seen)
                 seen = [Counter(), Counter()]
-            if len(have) > 250_000:
-                yield _groups(have)
-                have = {}
-    flush(seen)
-    if have:
-        yield _groups(have)
-
-
-def _groups(have: dict[bytes, list]) -> pa.RecordBatch:
-    n = np.array(list(have.values()), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(list(have), pa.binary()), pa.array(n[:, 0]), pa.array(n[:, 1])],
-                                      names=["group", "ordinary", "toxic"])
+    yield from flush(seen)
 
 
 class Model:
@@ -134,58 +120,69 @@ class Model:
     TABLES = {"own": ("own0", "own1"), "own_context": ("context0_own", "context1_own", "kinds0_own", "kinds1_own")} | {
         n: c for k in range(1, ORDER) for n, c in ((f"shared{k}", (f"shared{k}",)), (f"context{k}", (f"context{k}", f"kinds{k}")))}
 
-    def __init__(self, path: str):
-        sizes = np.fromfile(path, np.int64, len(self.TABLES))
-        whole = np.memmap(path, np.int64, "r")
-        self.keys, self.tables = {}, {}
-        at = len(sizes)
-        for (name, columns), n in zip(self.TABLES.items(), sizes.tolist(), strict=True):
-            self.keys[name] = np.asarray(whole[at:at + n])
-            for c in columns:
+    def __init__(self, paths: list[str | None]):
+        """``paths``: a power of two of files, by ascending range of the hash; None: an
+        empty range."""
+        self.bits = (len(paths) - 1).bit_length()
+        self.keys: dict[str, list] = {n: [] for n in self.TABLES}
+        self.tables: dict[str, list] = {c: [] for columns in self.TABLES.values() for c in columns}
+        for path in paths:
+            whole = np.memmap(path, np.int64, "r") if path else np.zeros(len(self.TABLES), np.int64)
+            sizes = whole[:len(self.TABLES)]
+            at = len(sizes)
+            for (name, columns), n in zip(self.TABLES.items(), sizes.tolist(), strict=True):
+                self.keys[name].append(np.asarray(whole[at:at + n]))
+                for c in columns:
+                    at += n
+                    self.tables[c].append(np.asarray(whole[at:at + n]).view(np.float64))
                 at += n
-                self.tables[c] = np.asarray(whole[at:at + n]).view(np.float64)
-            at += n
+        self.words: dict[str, int] = {}      # words met, and at their places
+        self.sums, self.sizes = np.zeros(0), np.zeros(0)
 
     @classmethod
-    def write(cls, counts: DataFrame) -> str:
-        """Write rows (part, key, v0 to v3), taken a range of hashes at a time, to a new
-        file; its path."""
-        n = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        sizes = [n.get(i, 0) for i in range(len(cls.TABLES))]
-        starts = len(sizes) + np.cumsum([0] + [k * (1 + len(c)) for k, c in zip(sizes, cls.TABLES.values(), strict=True)])
-        with tempfile.NamedTemporaryFile(prefix="letters-", suffix=".bin", delete=False) as f:
-            path = f.name
-        whole = np.memmap(path, np.int64, "w+", shape=(int(starts[-1]),))
-        whole[:len(sizes)] = sizes
-        pieces = max(1, math.ceil(sum(sizes) / PART_ROWS))
-        cuts = [-(1 << 63) + (p << 64) // pieces for p in range(1, pieces)]
-        done = [0] * len(sizes)
-        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            rows = counts
-            rows = rows if low is None else rows.where(F.col("key") >= low)
-            rows = rows if high is None else rows.where(F.col("key") < high)
-            got = rows.toPandas()
-            part, key = got["part"].to_numpy(np.int64), got["key"].to_numpy(np.int64)
+    def write(cls, counts: DataFrame) -> list[str | None]:
+        """Write rows (part, key, v0 to v3) as files below the shared folder, one for
+        each range of hashes; their paths, in order, None where there are no rows."""
+        pieces = 1 << max(0, math.ceil(math.log2(max(1, counts.count()) / PIECE_ROWS)))
+        folder = work_folder(counts.sparkSession, "letters")
+
+        def save(key: tuple, t: pa.Table) -> pa.Table:
+            part, hashes = t["part"].to_numpy(), t["key"].to_numpy()
+            order = np.lexsort((hashes, part))
+            cuts = np.searchsorted(part[order], np.arange(len(cls.TABLES) + 1))
+            arrays = [np.diff(cuts).astype(np.int64)]
             for i, columns in enumerate(cls.TABLES.values()):
-                here = np.flatnonzero(part == i)
-                here = here[np.argsort(key[here])]
-                at = int(starts[i]) + done[i]
-                whole[at:at + len(here)] = key[here]
-                for c in range(len(columns)):
-                    at += sizes[i]
-                    whole[at:at + len(here)] = got[f"v{c}"].to_numpy(np.float64)[here].view(np.int64)
-                done[i] += len(here)
-        whole.flush()
-        return path
+                here = order[cuts[i]:cuts[i + 1]]
+                arrays += [hashes[here]] + [t[f"v{c}"].to_numpy()[here].view(np.int64) for c in range(len(columns))]
+            store, path = place(folder)
+            store.create_dir(path)
+            name = f"letters-{uuid.uuid4().hex}.bin"  # an attempt that is repeated writes another file
+            with store.open_output_stream(f"{path}/{name}") as f:
+                for a in arrays:
+                    f.write(np.ascontiguousarray(a).tobytes())
+            return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "path": [f"{folder}/{name}"]})
+
+        shift = 64 - pieces.bit_length() + 1
+        piece = (F.shiftright("key", shift) + pieces // 2) if pieces > 1 else F.lit(0).cast("long")
+        got = counts.withColumn("piece", piece).groupBy("piece").applyInArrow(save, "piece long, path string").collect()
+        paths = {r.piece: r.path for r in got}
+        return [paths.get(i) for i in range(pieces)]
 
     def find(self, name: str, groups: np.ndarray) -> list[np.ndarray]:
         """The columns of table ``name`` at each row's group, 0 where it was never seen."""
-        have, h = self.keys[name], keys(groups).view(np.int64)
-        if not len(have):
-            return [np.zeros(len(h)) for _ in self.TABLES[name]]
-        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
-        seen = have[at] == h
-        return [np.where(seen, self.tables[c][at], 0) for c in self.TABLES[name]]
+        h = keys(groups).view(np.int64)
+        piece = (h >> (64 - self.bits)) + (1 << self.bits >> 1) if self.bits else np.zeros(len(h), np.int64)
+        out = [np.zeros(len(h)) for _ in self.TABLES[name]]
+        order = np.argsort(piece, kind="stable")
+        cuts = np.searchsorted(piece[order], np.arange(len(self.keys[name]) + 1))
+        for p, have in enumerate(self.keys[name]):
+            here = order[cuts[p]:cuts[p + 1]]
+            if len(have) and len(here):
+                at = np.minimum(np.searchsorted(have, h[here]), len(have) - 1)
+                seen = have[at] == h[here]
+                for o, c in zip(out, self.TABLES[name], strict=True):
+                    o[here[seen]] = self.tables[c][p][at[seen]]
+        return out
 
     def logs(self, groups: np.ndarray) -> np.ndarray:
         """Toxic less ordinary log-probability of each row's last letter."""
@@ -205,31 +202,58 @@ class Model:
             out.append(np.log(np.maximum(np.where(total > 0, p, low), 1e-30)))
         return out[1] - out[0]
 
-    def evidence(self, texts: list[str | None], lot: int = 30_000) -> np.ndarray:
+    def at(self, words: list[str]) -> np.ndarray:
+        """The places of words in ``sums`` (a word's evidence) and ``sizes`` (its
+        letters and end)."""
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if len(self.words) + len(new) > CACHED:
+            new = list(dict.fromkeys(words))
+            self.words, self.sums, self.sizes = {}, np.zeros(0), np.zeros(0)
+        if new:
+            sums = np.zeros(len(new))
+            for groups, word in letters(new):
+                first = int(word[0])
+                part = np.bincount(word - first, self.logs(groups))
+                sums[first:first + len(part)] += part
+            self.words |= zip(new, range(len(self.words), len(self.words) + len(new)))
+            self.sums = np.concatenate([self.sums, sums])
+            self.sizes = np.concatenate([self.sizes, np.fromiter((len(w) + 1 for w in new), float, len(new))])
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def evidence(self, texts: Iterable[str | None]) -> np.ndarray:
         """For each text: its TOP strongest words' evidence, strongest first, and the
-        difference of the log-likelihoods per letter. A text without words has zeros."""
-        split = [split_words(t) for t in texts]
-        place = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-        words = list(place)
-        sums, sizes = np.zeros(len(words)), np.ones(len(words))
-        for k in range(0, len(words), lot):
-            groups, word = letters(words[k:k + lot])
-            sums[k:k + lot] = np.bincount(word, self.logs(groups), len(words[k:k + lot]))
-            sizes[k:k + lot] = np.bincount(word, minlength=len(words[k:k + lot]))
-        out = np.zeros((len(texts), TOP + 1))
-        for i, s in enumerate(split):
-            if s:
-                at = np.fromiter(map(place.__getitem__, s), np.int64, len(s))
-                e = np.sort(sums[at])[::-1][:TOP]
+        difference of the log-likelihoods per letter. A text without words has zeros; one
+        with fewer than TOP has its weakest word's, or 0 if that is more, in place of the
+        rest."""
+        out = []
+        lot: list[list[str]] = []
+        size = 0
+        for t in texts:
+            lot.append(split_words(t))
+            size += len(t or "")
+            if size > LOT:
+                out.append(self._evidence(lot))
+                lot, size = [], 0
+        return np.concatenate([*out, self._evidence(lot)])
+
+    def _evidence(self, split: list[list[str]]) -> np.ndarray:
+        at = self.at([w for s in split for w in s])
+        sums, sizes = self.sums[at], self.sizes[at]
+        ends = np.cumsum([0, *map(len, split)])
+        out = np.zeros((len(split), TOP + 1))
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if a < b:
+                e = sums[a:b]
+                e = np.sort(e if b - a <= TOP else np.partition(e, b - a - TOP)[b - a - TOP:])[::-1]
                 out[i, :len(e)] = e
                 out[i, len(e):TOP] = min(0.0, e[-1])
-                out[i, TOP] = sums[at].sum() / sizes[at].sum()
+                out[i, TOP] = sums[a:b].sum() / sizes[a:b].sum()
         return out
 
 
-def fit_counts(labelled: DataFrame) -> str:
-    """The model of rows (text, toxic): every row is counted. The name of its file among
-    the job's files."""
+def fit_counts(labelled: DataFrame) -> tuple[str | None, ...]:
+    """The model of rows (text, toxic): every row is counted. The names of its files
+    among the job's files, None for an empty range."""
     groups = written(labelled.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(
         _count, "group binary, ordinary long, toxic long").groupBy("group").agg(
             F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "groups")
@@ -263,18 +287,21 @@ def fit_counts(labelled: DataFrame) -> str:
         filled = [F.col(f"`{c}`").cast("double") for c in columns] + [F.lit(0.0)] * (4 - len(columns))
         rows = tables[name].select(F.lit(i).alias("part"), key, *[c.alias(f"v{j}") for j, c in enumerate(filled)])
         counts = rows if counts is None else counts.union(rows)
-    path = Model.write(written(counts, "counts"))
-    labelled.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    paths = Model.write(written(counts, "counts"))
+    for path in filter(None, paths):
+        labelled.sparkSession.sparkContext.addFile(path)
+    return tuple(path and os.path.basename(path) for path in paths)
 
 
-_OPEN: dict[str, Model] = {}
+_OPEN: dict[tuple[str | None, ...], Model] = {}
 
 
-def _opened(name: str) -> Model:
-    if name not in _OPEN:
-        _OPEN[name] = Model(SparkFiles.get(name))
-    return _OPEN[name]
+def _opened(names: tuple[str | None, ...]) -> Model:
+    """The model of these files; a worker keeps the last one only, with its words."""
+    if names not in _OPEN:
+        _OPEN.clear()
+        _OPEN[names] = Model([n and SparkFiles.get(n) for n in names])
+    return _OPEN[names]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -294,9 +321,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0, rid
 
 
 class Scorer:
-    """A fitted model, by its name among the job's files, with its curve."""
+    """A fitted model, by the names of its files among the job's files, with its curve."""
 
-    def __init__(self, name: str, weights: np.ndarray):
+    def __init__(self, name: tuple[str | None, ...], weights: np.ndarray):
         self.name, self.weights = name, weights
 
     @property
@@ -307,14 +334,10 @@ class Scorer:
         """The score of a text column, 0 to 1."""
         name, weights = self.name, self.weights
 
-        def curve(texts: list[str | None]) -> np.ndarray:
-            x = _opened(name).evidence(texts)
-            return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            values = texts.tolist()
-            return pd.Series(np.concatenate([curve(values[k:k + 500]) for k in range(0, len(values), 500)] or [np.empty(0)]))
+            x = _opened(name).evidence(texts.tolist())
+            return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
         return score(text)
 
@@ -345,6 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts. Where the rest lacks a class, the two length-normalised likelihoods are
     compared as they are. Without rows of both classes every text scores 0.
     """
+    ship(docs.sparkSession)
     marks = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     marks = marks.where(~held_out())
     # only texts that may be labelled are shuffled to their labels, at any size alike
@@ -393,7 +417,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    A null, empty or word-less text is scored as having no evidence. Rows with a null
+    The score is a curve over the evidence of the text's ``TOP`` strongest words, one by
+    one, and over the difference of its two log-likelihoods per letter, in which all of
+    its words count. A null, empty or word-less text is scored as having no evidence. Rows with a null
     id are scored and count as held out; repeated rows are scored each and, where
     labelled, counted each. Other columns are not read; an empty table gives no rows.
     """
@@ -405,8 +431,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns,
+    whatever these are called. Rows with a null id and repeated rows are each judged by
+    their text; a null or empty text has no evidence. An empty table gives no rows."""
     scorer = fit(docs, labels, id_col, text_col)
-    mark = "__toxicity__"
+    mark = free_name(docs, "toxicity")
     return (docs.withColumn(mark, scorer.column(F.col(f"`{text_col}`").cast("string")))
             .where(F.col(mark) < threshold).drop(mark))

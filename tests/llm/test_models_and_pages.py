@@ -1,7 +1,9 @@
 """Toxicity and quality by held-out accuracy, main text and archives, the pipeline."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,33 +62,119 @@ def test_no_labels_at_all(labelled):
 
 
 def test_kneser_ney_shares_are_whole(labelled):
-    """Over all letters that can follow a context, each class's probabilities sum to one
-    at most (hashing may only add)."""
+    """The counts of all groups are the counts of all contexts, in each class and in the
+    shared orders."""
     docs, labels = labelled
     model = toxicity.fit(docs, labels).model
-    t = model.tables
+    t = {n: np.concatenate(c) for n, c in model.tables.items()}
     assert t["own0"].sum() == t["context0_own"].sum() > 0
     assert t["own1"].sum() == t["context1_own"].sum() > 0
     for k in range(1, toxicity.ORDER):
         assert t[f"shared{k}"].sum() == t[f"context{k}"].sum() > 0
 
 
-def test_every_letter_group_has_its_own_counts(spark):
-    """However many groups there are, none gets another's counts."""
-    from collections import Counter
+def test_every_letter_group_has_its_own_counts(spark, monkeypatch):
+    """However many groups there are, and in however many files, none gets another's counts."""
+    monkeypatch.setattr(toxicity, "PIECE_ROWS", 50_000)
     rng = random.Random(9)
     words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(6)) for _ in range(40_000)]
     rows = [(" ".join(words[k::40]), int(k % 4 == 0)) for k in range(40)]
     model = toxicity._opened(toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int")))
     want = [Counter(), Counter()]
     for text, toxic in rows:
-        want[toxic].update(g.tobytes() for g in toxicity.letters(text.split())[0])
+        want[toxic].update(g.tobytes() for some, _ in toxicity.letters(text.split(), 1000) for g in some)
     groups = list(want[0] | want[1])
-    assert len(groups) > 200_000 and np.count_nonzero(model.tables["own0"] + model.tables["own1"]) == len(groups)
+    assert len(groups) > 200_000 and sum(map(len, model.tables["own0"])) == len(groups)
     got = model.find("own", np.frombuffer(b"".join(groups), np.uint32).reshape(-1, toxicity.ORDER))
     for label in (0, 1):
         assert got[label].tolist() == [want[label][g] for g in groups]
-    assert np.array_equal(model.tables["shared4"].sum(), len(groups))
+    assert sum(c.sum() for c in model.tables["shared4"]) == len(groups)
+
+
+def plain_kneser_ney(rows):
+    """log P(toxic) - log P(ordinary) of a word's letters, from plain counts."""
+    def groups(word):
+        line = "\1" * 4 + word + "\2"
+        return [line[i:i + 5] for i in range(len(word) + 1)]
+
+    own = [Counter(), Counter()]
+    for text, toxic in rows:
+        own[toxic].update(g for w in toxicity.split_words(text) for g in groups(w))
+    level = {5: set(own[0]) | set(own[1])}
+    shared = {}
+    for k in range(4, 0, -1):
+        shared[k] = Counter(g[1:] for g in level[k + 1])
+        level[k] = set(shared[k])
+
+    def back(g):
+        if not g:
+            return 1 / 256
+        counts = shared[len(g)]
+        same = {x: n for x, n in counts.items() if x[:-1] == g[:-1]}
+        low = back(g[1:])
+        if not same:
+            return low
+        total = sum(same.values())
+        return max(counts[g] - 0.75, 0) / total + 0.75 * len(same) / total * low
+
+    def one(label, g):
+        same = {x: n for x, n in own[label].items() if x[:-1] == g[:-1]}
+        low = back(g[1:])
+        if not same:
+            return low
+        total = sum(same.values())
+        return (max(own[label][g] - 0.75, 0) + 0.75 * len(same) * low) / total
+
+    return lambda word: sum(math.log(one(1, g)) - math.log(one(0, g)) for g in groups(word))
+
+
+def test_evidence_is_plain_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_ROWS", 64)
+    rng = random.Random(3)
+    rows = [(" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(12)), int(i % 3 == 0)) for i in range(30)]
+    rows += [("Aaaa, bbbb! " + "abc" * 30, 1)]
+    model = toxicity._opened(toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    plain = plain_kneser_ney(rows)
+    texts = [r[0] for r in rows[:6]] + ["zzz new wörd", "abcabc", "", None, "!!", "abc" * 40, "a b"]
+    for _ in range(2):  # the second time from the worker's memory
+        for text, got in zip(texts, model.evidence(texts), strict=True):
+            words = toxicity.split_words(text)
+            each = sorted(map(plain, words), reverse=True)
+            want = [0.0] * 4
+            if words:
+                want = [*each[:3], *[min(0.0, each[-1])] * (3 - len(each[:3])), sum(each) / sum(len(w) + 1 for w in words)]
+            assert np.allclose(got, want, atol=1e-9)
+
+
+def test_a_worker_keeps_a_bounded_number_of_words(spark, monkeypatch):
+    rows = [("aba cab abc", 1), ("bab aca", 0)]
+    model = toxicity._opened(toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(6)) for _ in range(20)) for _ in range(60)]
+    want = model.evidence(texts)
+    monkeypatch.setattr(toxicity, "CACHED", 30)
+    monkeypatch.setattr(toxicity, "LOT", 300)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    again = toxicity._opened(toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    assert np.allclose(again.evidence(texts), want) and len(again.words) <= 60
+
+
+def test_one_very_long_word_and_text(spark):
+    """Megabytes without a blank, and with blanks, are counted and scored whole."""
+    long = "xyz" * 700_000
+    rows = [(1, long, 1), (2, "ab cd " * 300_000, 0), (3, "ef gh", 0), (4, "xyz zyx", 1), (6, "ab", 0), (7, "xyz", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == 6 and got[1] > got[2]
+
+
+def test_clashing_names_stay(labelled):
+    docs, labels = labelled
+    some = docs.where("doc_id < 40").withColumns({c: F.lit("mine") for c in ("toxicity", "Quality", "__toxicity__", "__quality__")})
+    for kept in (toxicity.keep_ordinary(some, labels), quality.keep_good(some, labels)):
+        assert kept.columns == some.columns
+        assert kept.where("toxicity = 'mine' and Quality = 'mine'").count() == kept.count() > 0
 
 
 @pytest.mark.parametrize("toxic", [1, 2, 3])
