@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import hash_sample, written
+from flowlane.llm.common import hash_sample, ship, written
 from flowlane.llm.vectors import lists, matrix, usable
 
 COLUMNS = 16   # width of a block of rotated columns
 EPSILON = 2.1  # width of the hypothesis test, in standard deviations
+DENSE = 0.1    # share of the pairs of a block up to which they are looked at one by one
+SLACK = 1e-5   # of the squared distances, which are in single precision
 
 
 def _augmented(m: np.ndarray, most: float) -> np.ndarray:
@@ -78,47 +80,56 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, x_ids: np.ndarray, most: float,
-         turn: np.ndarray, k: int, block: int = 1024) -> list[tuple[int, np.ndarray, np.ndarray]]:
+         turn: np.ndarray, k: int, block: int = 2048) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, row positions, scores) of each query's best ``k`` ids, by the
-    best row of each, whose score reaches its ``bound``."""
+    best row of each, whose score reaches its ``bound``.
+
+    While many pairs of a block are left, a block of columns is added for all of them
+    in one product; once few are, for those alone."""
     dims = turn.shape[0]
-    zx = _augmented(x, most) @ turn
-    zq = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+    zx = (_augmented(x, most) @ turn).astype(np.float32)
+    zq = (np.hstack([q, np.zeros((len(q), 1))]) @ turn).astype(np.float32)
     size = (q * q).sum(1) + most * most
     bound = bound.copy()
     kept: list[list[np.ndarray]] = [[] for _ in q]
+    ends = [*range(COLUMNS, dims, COLUMNS), dims]
     for first in range(0, len(x), block):
         part = slice(first, min(first + block, len(x)))
-        reach = np.sqrt(np.maximum(size - 2 * bound, 0)) * (1 + 1e-9) + 1e-9 * most
-        i = j = None
-        for begin in range(0, dims, COLUMNS):
-            end = min(begin + COLUMNS, dims)
+        reach = np.sqrt(np.maximum(size - 2 * bound, 0) + SLACK * size)
+        d2 = i = j = None
+        for begin, end in zip([0, *ends], ends):
+            limit = _limit(reach, end, dims).astype(np.float32)
             if i is None:
-                a, b = zq[:, :end], zx[part, :end]
-                d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-                limit = _limit(reach, end, dims)
-                i, j = np.nonzero(d2 <= limit[:, None])
-                d2 = d2[i, j]
+                a, b = zq[:, begin:end], zx[part, begin:end]
+                gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+                d2 = gap if d2 is None else d2 + gap
+                near = d2 <= limit[:, None]
+                if np.count_nonzero(near) <= DENSE * near.size or end == dims:
+                    i, j = np.nonzero(near)
+                    d2 = d2[i, j]
             else:
                 gap = zq[i, begin:end] - zx[first + j, begin:end]
                 d2 = d2 + (gap * gap).sum(1)
-                near = d2 <= _limit(reach, end, dims)[i]
+                near = d2 <= limit[i]
                 i, j, d2 = i[near], j[near], d2[near]
-            if not len(i):
+            if i is not None and not len(i):
                 break
-        if i is None or not len(i):
+        if not len(i):
             continue
         score = np.einsum("ij,ij->i", q[i], x[first + j])
         right = (score >= bound[i]) & (q_ids[i] != x_ids[first + j])
         i, j, score = i[right], j[right], score[right]
-        for p in np.unique(i):
-            here = slice(*np.searchsorted(i, [p, p + 1]))
+        cuts = np.searchsorted(i, np.arange(len(q) + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            here = slice(cuts[p], cuts[p + 1])
             rows, values = np.concatenate([*[r for r, _ in kept[p]], first + j[here]]), np.concatenate(
                 [*[v for _, v in kept[p]], score[here]])
-            top = best(values, x_ids[rows], k)
-            kept[p] = [(rows[top], values[top])]
-            if len(top) == k:
-                bound[p] = max(bound[p], values[top[-1]])
+            if len(rows) >= k:
+                top = best(values, x_ids[rows], k)
+                rows, values = rows[top], values[top]
+                if len(top) == k:
+                    bound[p] = max(bound[p], values[-1])
+            kept[p] = [(rows, values)]
     return [(p, *have[0]) for p, have in enumerate(kept) if have]
 
 
@@ -130,82 +141,107 @@ def _limit(reach: np.ndarray, seen: int, dims: int) -> np.ndarray:
     return (reach * (1 + EPSILON / math.sqrt(seen))) ** 2 * seen / dims
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, per_list: int = 2048,
+def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, per_list: int | None = None,
            sample: int = 16_384, probes_from: int = 128, chunk: int = 4096,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found of each row whose id is divisible by ``every``:
     query_id, rank, vec_id, score.
 
-    ``sample`` bounds the rows that centres, first bounds and the number of probes
-    are fitted on; ``recall`` is what the fitted number of probes reaches on
-    ``probes_from`` of them. Lists of more than ``chunk`` rows and their queries are
-    dealt out in chunks, so no group grows with the table.
+    There are as many lists as the square root of the number of rows, or one for each
+    ``per_list`` rows, and 16 sample rows for each list: centres, first bounds and the
+    number of probes are fitted on these, at most ``sample`` of them. ``recall`` is what
+    the fitted number of probes reaches on ``probes_from`` rows beside the sample. Lists
+    of more than ``chunk`` rows and their queries are dealt out in chunks, so no group
+    grows with the table.
 
     Rows with a null id and unusable vectors (see ``vectors.usable``) take no part.
     An id that several rows have is one neighbour, with its best score; no row is a
     neighbour of a query of its own id, and a repeated query id is answered once, for
-    its smallest vector.
+    its smallest vector. Of rows that share a vector the ``k + 1`` smallest ids are
+    candidates: the others tie with them and come after.
     Ties go to the smaller id. Other columns are not read; an empty table gives no
     rows.
     """
     spark = vectors.sparkSession
+    ship(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     sound, dims = usable(vectors, id_col, vector_col)
+    if not dims:
+        return spark.createDataFrame([], schema)
     # copies of a row count once, or a repeated one would fill samples and lists
-    sound = written(sound.where("vec_id is not null").dropDuplicates(["vec_id", "v"]), "distinct") if dims else sound
-    total, most = sound.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate(
-        "v", F.lit(0.0), lambda a, x: a + x * x)))).head() if dims else (0, None)
+    sound = sound.where("vec_id is not null").dropDuplicates(["vec_id", "v"])
+    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    asks = F.col("vec_id") % every == 0
+    # one table for both: a crowd's other rows are there as queries alone
+    sound = written(sound.withColumn("place", F.row_number().over(same)).where((F.col("place") <= k + 1) | asks), "distinct")
+    among = sound.where(F.col("place") <= k + 1).select("vec_id", "v")
+    total, most = sound.agg(F.count_if(F.col("place") <= k + 1), F.max(F.sqrt(F.aggregate(
+        "v", F.lit(0.0), lambda a, x: a + x * x)))).head()
     if not total:
         return spark.createDataFrame([], schema)
+    cells = max(1, min(math.ceil(total / per_list) if per_list else math.ceil(math.sqrt(total)), sample // 16))
     # the rows with the smallest hashes: the same at every partitioning
-    drawn = hash_sample(sound, F.xxhash64("vec_id", "v"), min(sample, max(256, total // 4)), "vec_id", "v").collect()
-    anchors = np.array([r.v for r in drawn])
-    anchor_ids = np.array([r.vec_id for r in drawn])
-    asking = np.sort(np.unique(anchor_ids, return_index=True)[1])[:probes_from]  # an id asks once
+    drawn = hash_sample(among, F.xxhash64("vec_id", "v"), max(256, 16 * cells) + probes_from, "vec_id", "v").collect()
+    # the last ones only measure recall, unless there are few rows altogether
+    rest = drawn[-probes_from:] if len(drawn) > 2 * probes_from else drawn
+    drawn = drawn[:-probes_from] if len(drawn) > 2 * probes_from else drawn
+    anchors, anchor_ids = np.array([r.v for r in drawn]), np.array([r.vec_id for r in drawn])
     by_id = np.argsort(anchor_ids, kind="stable")
     one_id, starts = np.unique(anchor_ids[by_id], return_index=True)
-    centres = k_means(_augmented(anchors, most), max(1, min(math.ceil(total / per_list), len(anchors) // 16)))
-    cells = len(centres)
+    centres = k_means(_augmented(anchors, most), min(cells, max(1, len(anchors) // 16)))
 
     def assign(batches):
         for b in batches:
             cell = nearest(_augmented(matrix(b.column(1), dims), most), centres, 1)[:, 0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["vec_id", "v", "cell"])
 
-    rows = written(sound.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "lists")
-    probes = _probes(rows, dims, anchors[asking], anchor_ids[asking], centres, most, k, recall)
+    rows = written(among.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "lists")
+    asking = np.sort(np.unique([r.vec_id for r in rest], return_index=True)[1])[:probes_from]  # an id asks once
+    probes = _probes(rows, dims, np.array([rest[i].v for i in asking]), np.array([rest[i].vec_id for i in asking]),
+                     centres, most, k, recall)
 
     def ask(batches):
+        """Each query with its lists, its best sample rows, which are candidates too, so
+        that no query gets fewer than k, and the bound that these give."""
         for b in batches:
-            q, ids = matrix(b.column(1), dims), b.column(0).to_numpy()
-            bound = np.empty(len(q))
-            for f in range(0, len(q), 256):
-                s = np.maximum.reduceat((q[f:f + 256] @ anchors.T)[:, by_id], starts, axis=1)
-                s[ids[f:f + 256, None] == one_id[None, :]] = -np.inf
-                bound[f:f + 256] = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else -np.inf
-            # the product of the scan may differ in the last digits
-            bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1, np.abs(bound)), -1e300)
-            to = nearest(np.hstack([q, np.zeros((len(q), 1))]), centres, probes)
-            n = len(q)
-            at = np.repeat(np.arange(n), probes)
-            for f in range(0, n * probes, 50_000):
-                part = at[f:f + 50_000]
+            for f in range(0, b.num_rows, 256):
+                some = b.slice(f, 256)
+                q, ids = matrix(some.column(1), dims), some.column(0).to_numpy()
+                s = (q @ anchors.T)[:, by_id]
+                id_best = np.maximum.reduceat(s, starts, axis=1)
+                id_best[ids[:, None] == one_id[None, :]] = -np.inf
+                n = min(k, id_best.shape[1])
+                top = np.argpartition(id_best, -n, axis=1)[:, -n:]
+                low = np.take_along_axis(id_best, top, axis=1).min(1) if n == k else np.full(len(q), -np.inf)
+                # the product of the scan may differ in the last digits
+                low = np.where(np.isfinite(low), low - 1e-9 * np.maximum(1, np.abs(low)), -1e300)
+                to = nearest(np.hstack([q, np.zeros((len(q), 1))]), centres, probes)
+                hits = []
+                for p in range(len(q)):
+                    at = by_id[np.concatenate([np.arange(a, e) for a, e in zip(
+                        starts[top[p]], np.append(starts, len(by_id))[top[p] + 1], strict=True)])]
+                    score = np.einsum("ij,j->i", anchors[at], q[p])
+                    t = best(score, anchor_ids[at], k)
+                    t = t[anchor_ids[at[t]] != ids[p]]
+                    hits.append([{"vec_id": int(i), "score": float(x)} for i, x in zip(anchor_ids[at[t]], score[t], strict=True)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[part]), lists(q[part]), pa.array(bound[part]),
-                    pa.array(to.ravel()[f:f + 50_000], pa.int32())], names=["vec_id", "v", "bound", "cell"])
-
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.mapInArrow(ask, "vec_id long, v array<double>, bound double, cell int")
+                    *some.columns, pa.array(low), pa.array(list(to), pa.list_(pa.int32())), pa.array(hits, known)],
+                    names=["vec_id", "v", "bound", "cells", "known"])
+
+    known = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    queries = sound.where(asks).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(queries.mapInArrow(ask, "vec_id long, v array<double>, bound double, cells array<int>, "
+                                            "known array<struct<vec_id:long,score:double>>"), "queries")
+    to_lists = asked.select("vec_id", "v", "bound", F.explode("cells").alias("cell"))
     # cells are bounded by the sample, so the counts are a small table for all tasks
     x_lots = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("x_lots"))
-    asked = written(asked, "queries")
-    q_lots = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q_lots"))
+    q_lots = to_lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q_lots"))
     lots = F.broadcast(x_lots.join(q_lots, "cell"))
     lot = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     xs = rows.join(lots, "cell").select(
         "cell", lot("x_lots").alias("x_lot"), F.explode(F.sequence(F.lit(0), F.col("q_lots") - 1)).alias("q_lot"),
         "vec_id", "v", F.lit(None).cast("double").alias("bound"))
-    qs = asked.join(lots, "cell").select(
+    qs = to_lists.join(lots, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("x_lots") - 1)).alias("x_lot"), lot("q_lots").alias("q_lot"),
         "vec_id", "v", "bound")
     turn = rotation(dims + 1)
@@ -223,22 +259,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
 
     hits = (xs.union(qs).groupBy("cell", "x_lot", "q_lot")
             .applyInArrow(compare, "query_id long, vec_id long, score double"))
-
-    def known(batches):
-        for b in batches:
-            q, ids = matrix(b.column(1), dims), b.column(0).to_numpy()
-            found = []
-            for p in range(len(q)):
-                other = np.flatnonzero(anchor_ids != ids[p])
-                s = np.einsum("ij,ij->i", anchors[other], np.broadcast_to(q[p], (len(other), dims)))
-                t = best(s, anchor_ids[other], k)
-                found.append((np.full(len(t), ids[p]), anchor_ids[other[t]], s[t]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)],
-                                             names=["query_id", "vec_id", "score"])
-
-    # the sample's own best rows are candidates too, so no query gets fewer than k
-    hits = (hits.union(queries.mapInArrow(known, "query_id long, vec_id long, score double"))
-            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    own = asked.select(F.col("vec_id").alias("query_id"), F.explode("known").alias("h")).select("query_id", "h.vec_id", "h.score")
+    hits = hits.union(own).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
