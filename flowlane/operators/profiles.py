@@ -182,18 +182,19 @@ def hourly_band(df: DataFrame, value: str = TARGET) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None,
              accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact interpolated quartiles and
-    max per column, long format (one row per column). Moments come from one
-    aggregate; quartiles from the distributed exact order statistics."""
-    from .quantiles import quantiles
+    max per column, long format (one row per column). Moments and the sketches that
+    bracket the quartiles come from one aggregate, the quartiles from a second scan."""
+    from .quantiles import approx_quantiles, exact_quantiles, sketch_aggs
     cols = columns or [TARGET]
-    aggs = []
+    aggs = [] if accuracy else sketch_aggs(df, cols)
     for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"),
+        aggs += [F.count(c).alias(f"rows_{c}"), F.avg(c).alias(f"mean_{c}"),
                  F.stddev_samp(c).alias(f"std_{c}"), F.min(F.col(c).cast("double")).alias(f"min_{c}"),
                  F.max(F.col(c).cast("double")).alias(f"max_{c}")]
-    m = df.agg(*aggs).first()
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
-    rows = [(c, m[f"n_{c}"], m[f"mean_{c}"], m[f"std_{c}"], m[f"min_{c}"], *q[c], m[f"max_{c}"])
+    m = df.agg(*aggs).first().asDict()
+    probs = [0.25, 0.5, 0.75]
+    q = approx_quantiles(df, cols, probs, accuracy) if accuracy else exact_quantiles(df, cols, probs, bounds=m)
+    rows = [(c, m[f"rows_{c}"], m[f"mean_{c}"], m[f"std_{c}"], m[f"min_{c}"], *q[c], m[f"max_{c}"])
             for c in cols]
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, std double, min double, q25 double, "
@@ -240,22 +241,23 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) ->
     for a seed: the rows with the n smallest ``(u, id)``, u a uniform draw
     hashed from (id, seed).
 
-    The n-th smallest u is found exactly by distributed histogram
-    refinement and the sample is a plain filter, so no task ever buffers n
-    rows, whatever n is."""
+    The n-th smallest of uniform draws lies within a few deviations of n / rows: one
+    scan counts the draws below that bracket and reads the rank off those inside it,
+    and the sample is a plain filter, so no task ever buffers n rows, whatever n is."""
     if n <= 0:
         return df.limit(0)
     x = df.withColumn("_u", uniform_draw(id_col, seed))
-    from .quantiles import order_statistics
+    from .quantiles import select_ranks, uniform_bracket
     total = df.count()
     if n >= total:
         return df
-    t = order_statistics(x, [("_u", n - 1)], bounds={"mn__u": 0.0, "mx__u": 1.0})[("_u", n - 1)]
-    below = x.filter(F.col("_u") < F.lit(t))
-    taken = below.count()
+    key = ("_u", n - 1)
+    t, below, same = select_ranks(x, [key], brackets={key: uniform_bracket(n - 1, total)})[key]
+    if same == n - below:
+        return x.filter(F.col("_u") <= F.lit(t)).drop("_u")
     # rows sharing the threshold draw (a handful at most) are cut by id
-    tie = x.filter(F.col("_u") == F.lit(t)).orderBy(id_col).limit(n - taken)
-    return below.unionByName(tie).drop("_u")
+    tie = x.filter(F.col("_u") == F.lit(t)).orderBy(id_col).limit(n - below)
+    return x.filter(F.col("_u") < F.lit(t)).unionByName(tie).drop("_u")
 
 
 def top_k(df: DataFrame, by: str, k: int, ascending: bool = False) -> DataFrame:

@@ -337,24 +337,18 @@ def bin_sizes(n: int, q: int) -> dict[int, int]:
     return sizes
 
 
-def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
-                   n: int | None = None, stats: dict | None = None) -> tuple[list[int], list, int]:
+def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int) -> tuple[list[int], list, int]:
     """W4 boundaries: the present bin ids, and for every bin but the last the
-    (value, id) of its last row in (value, id) order, plus n. Found by exact
-    distributed selection: the value is an order statistic of ``col``; when
+    (value, id) of its last row in (value, id) order, plus the number of rows. Found by
+    exact distributed selection: the value is an order statistic of ``col``; when
     it repeats, the id is an order statistic of the id among the rows
-    holding that value. Rows with a null ``col`` take no part. One bounds
-    pass (count, min/max of value and id) seeds every bracket; a caller that
-    already knows n and enclosing ranges passes them as ``stats`` (keys n,
-    mn, mx, imn, imx) and saves that pass."""
-    from .quantiles import select_ranks
+    holding that value. Rows with a null ``col`` take no part."""
+    from .quantiles import select_ranks, sketch_aggs
     v = F.col(col).cast("double")
     i = F.col(id_col).cast("long")  # ids beyond 2^53 do not fit a double
-    r0 = stats if stats is not None else df.agg(
-        F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-        F.min(F.when(v.isNotNull(), i)).alias("imn"),
-        F.max(F.when(v.isNotNull(), i)).alias("imx")).first().asDict()
-    n = r0["n"] if n is None else n
+    values = df.select(v.alias("_v"))
+    row = values.agg(*sketch_aggs(values, ["_v"])).first().asDict()
+    n = row["n__v"]
     sizes = bin_sizes(n, q)
     present = sorted(sizes)
     last_rank, cum = [], 0
@@ -363,8 +357,7 @@ def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
         last_rank.append(cum)  # 1-based rank of the last row of bin b
     if not last_rank:
         return present, [], n
-    vals = select_ranks(df.select(v.alias("_v")), [("_v", r - 1) for r in last_rank],
-                        bounds={"mn__v": r0["mn"], "mx__v": r0["mx"]})
+    vals = select_ranks(values, [("_v", r - 1) for r in last_rank], bounds=row)
     bvals = [vals[("_v", r - 1)] for r in last_rank]
     # a boundary inside a run of equal values needs the id of its row; one at
     # the end of the run (or on a unique value) does not
@@ -374,10 +367,7 @@ def bin_boundaries(df: DataFrame, col: str, id_col: str, q: int,
     if need:
         ties = df.select(*[F.when(v == F.lit(bvals[j][0]), i).alias(f"_i{j}") for j in need])
         reqs = {j: (f"_i{j}", last_rank[j] - 1 - bvals[j][1]) for j in need}
-        tb = {}
-        for j in need:
-            tb[f"mn__i{j}"], tb[f"mx__i{j}"] = r0["imn"], r0["imx"]
-        ids = select_ranks(ties, list(reqs.values()), bounds=tb)
+        ids = select_ranks(ties, list(reqs.values()))
         for j, req in reqs.items():
             bids[j] = int(ids[req][0])
     return present, [(bvals[j][0], bids[j]) for j in range(len(bvals))], n
@@ -404,7 +394,7 @@ def bin_expr(value: Column, row_id: Column, present: list[int], bounds: list) ->
 
 
 def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin",
-                  id_col: str = ROW_ID, n: int | None = None) -> DataFrame:
+                  id_col: str = ROW_ID) -> DataFrame:
     """Equal-count bins of the first-occurrence rank of ``col``
     (rank ties broken by row id): bin = max(0, ceil((r-1)·q/(n-1)) - 1),
     in exact integer arithmetic; n = 1 gives bin 0. Not ``ntile``.
@@ -414,7 +404,7 @@ def quantile_bins(df: DataFrame, col: str = TARGET, q: int = 10, out: str = "bin
     column-pruned selection passes) and each row compares itself with them
     in a narrow projection."""
     v = F.col(col)
-    present, bounds, n = bin_boundaries(df, col, id_col, q, n)
+    present, bounds, n = bin_boundaries(df, col, id_col, q)
     if n <= 1:
         return df.withColumn(out, F.when(v.isNotNull(), F.lit(0)))
     return df.withColumn(out, bin_expr(v.cast("double"), F.col(id_col), present, bounds))

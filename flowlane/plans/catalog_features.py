@@ -363,15 +363,14 @@ def _stratum_sql(name: str, source: str, share: float) -> str:
 
 
 @register("stratified_split", _with_obs("""
-SELECT split, bin, count(*) AS rows FROM (
-  SELECT t.bin, CASE WHEN t.picked THEN 'test' WHEN v.picked THEN 'validation' ELSE 'train' END AS split
-  FROM t_p t LEFT JOIN v_p v USING (event_id)) GROUP BY split, bin""",
+SELECT event_id, CASE WHEN t.picked THEN 'test' WHEN v.picked THEN 'validation' ELSE 'train' END AS split, t.bin
+FROM t_p t LEFT JOIN v_p v USING (event_id)""",
   f"d AS (SELECT event_id, congestion_level, {draw_sql(42)} AS u FROM obs)," + _stratum_sql("t", "d", 0.2)
   + ", rest AS (SELECT event_id, congestion_level, u FROM t_p WHERE NOT picked)," + _stratum_sql("v", "rest", 0.125)))
 def q_stratified_split(spark, sf):
-    # rows of each part in each of the ten strata of the target
-    s = T.stratified_split(observations(spark, sf).select("event_id", "congestion_level"))
-    return W.quantile_bins(s, "congestion_level").groupBy("split", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    # every row's part, with its stratum of the target
+    return T.stratified_split(observations(spark, sf).select("event_id", "congestion_level"), bin_col="bin").select(
+        "event_id", "split", "bin")
 
 
 @register("preprocess", _with_obs(

@@ -1,6 +1,7 @@
 """Skew-safe plans give the same answer as the straightforward ones."""
 
 import datetime as dt
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -207,3 +208,77 @@ def test_time_block_fits_density(spark):
     assert W.time_block_us(df, "location", max_block_rows=max(1, (densest - 1) // 2)) <= W.HOUR_US // 2
     # down to single instants
     assert W.time_block_us(df, "location", max_block_rows=0) == 1
+
+
+def jobs_of(spark, run):
+    """Spark jobs that ``run`` starts."""
+    sc = spark.sparkContext
+    group = f"counted {uuid.uuid4()}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    rng = np.random.default_rng(7)
+    n = 40_000
+    x = rng.normal(size=n)
+    x[::3] = 0.25
+    rows = [(i, float(x[i]), int(x[i] * 10), float("nan") if i % 5 == 0 else float(i % 11), (1 << 60) + i, None if i % 2 else float("inf"))
+            for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, x double, k int, z double, b long, e double").repartition(7).cache(), rows
+
+
+@pytest.mark.parametrize("inside", [1 << 17, 3])
+def test_two_scans_equal_sorting_with_and_without_refinement(spark, spread, monkeypatch, inside):
+    from flowlane.operators import quantiles as Q
+    df, rows = spread
+    monkeypatch.setattr(Q, "INSIDE", inside)
+    for c, at in (("x", 1), ("k", 2), ("z", 3), ("b", 4), ("e", 5)):
+        want = sorted(r[at] for r in rows if r[at] is not None and r[at] == r[at])
+        ranks = sorted({0, 1, len(want) // 4, len(want) // 2, len(want) // 2 + 1, len(want) - 1, len(want)})
+        got = Q.select_ranks(df, [(c, k) for k in ranks])
+        for k in ranks:
+            value, below, same = got[c, k]
+            if k == len(want):
+                assert value is None
+                continue
+            assert value == want[k] and below <= k
+            if same is not None:
+                assert below == sum(w < want[k] for w in want) and same == want.count(want[k])
+
+
+def test_a_rank_outside_its_bracket_is_still_found(spark, spread):
+    from flowlane.operators import quantiles as Q
+    df, rows = spread
+    want = sorted(r[1] for r in rows)
+    ids = sorted(r[4] for r in rows)
+    n = len(want)
+    got = Q.select_ranks(df, [("x", 5), ("x", n // 2 + 9), ("x", n - 2), ("b", 17)], brackets={
+        ("x", 5): (2.0, 2.1), ("x", n // 2 + 9): (-9.0, -8.0), ("x", n - 2): (0.2, 0.3), ("b", 17): (ids[-2], ids[-1])})
+    assert {key: v[0] for key, v in got.items()} == {
+        ("x", 5): want[5], ("x", n // 2 + 9): want[n // 2 + 9], ("x", n - 2): want[n - 2], ("b", 17): ids[17]}
+
+
+def test_quantiles_and_draws_take_two_jobs_and_their_stages(spark, spread):
+    from flowlane.operators import profiles as P
+    from flowlane.operators.transforms import fit_iqr_bounds
+    df, _ = spread
+    assert jobs_of(spark, lambda: P.describe(df, ["x", "k", "z", "b"])) <= 6
+    assert jobs_of(spark, lambda: fit_iqr_bounds(df, ["x", "k", "z"])) <= 6
+    assert jobs_of(spark, lambda: P.sample_exact(df, 5000)) <= 6
+
+
+def test_uniform_brackets_hold():
+    from flowlane.operators.quantiles import uniform_bracket
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 5000):
+        for _ in range(40):
+            u = np.sort(rng.random(n))
+            for k in {0, n // 5, n - 1}:
+                lo, hi = uniform_bracket(k, n)
+                assert 0 <= lo <= u[k] <= hi <= 1
