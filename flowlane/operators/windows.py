@@ -5,12 +5,13 @@ Strategies for the row windows (lag / rolling / trend):
 * ``plain``   — on request: ``Window.partitionBy(location).orderBy(timestamp, id)``:
   one Exchange + one Sort, and every lag / rolling statistic sharing the
   spec collapses into the same Window node. One location is one task.
-* ``chunked`` — the default, skew-safe: rows are numbered exactly in
-  (location, timestamp, id) order (``global_row_number``), cut into
-  chunks of ``chunk_rows``; the last ``lookback`` rows of each chunk are
-  copied into the next chunk as a halo, the window runs per
-  (location, chunk) and halo rows are dropped. No task sees more than
-  ``chunk_rows + lookback`` rows, whatever the key skew. Results are
+* ``chunked`` — the default, skew-safe: the rows of a key that holds more than
+  ``chunk_rows`` are cut into chunks at order statistics of (timestamp, id), which
+  are found on those narrow columns alone (``key_cuts``). Every row compares itself
+  with the cuts of its key, and the ``lookback`` rows before a cut are copied into
+  the next chunk as a halo; the window runs per (location, chunk) and halo rows are
+  dropped. No task sees more than ``chunk_rows + lookback`` rows, whatever the key
+  skew, and full-width rows move once: one Exchange, one Sort. Results are
   identical to ``plain``.
 
 ``partition_by=None`` reproduces the reference's whole-frame row order
@@ -23,6 +24,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from ..schema import ROW_ID, TARGET
@@ -32,6 +34,7 @@ DEFAULT_LAGS = [1, 2, 3, 6, 12, 24]
 DEFAULT_WINDOWS = [3, 6, 12, 24]
 DEFAULT_COLUMNS = ["traffic_volume", "avg_speed"]
 CHUNK_ROWS = 1_000_000
+MAX_CUTS = 100_000  # chunks of all large keys together: they are broadcast
 
 # spec → {name: column} built against that spec
 Builder = Callable[[WindowSpec], list[tuple[str, Column]]]
@@ -52,29 +55,63 @@ def _apply_windows(df: DataFrame, stages: list[Builder], partition_by: str | Non
             out = out.withColumns(dict(st(spec)))
         return out
 
-    chunk_rows = max(int(chunk_rows), int(lookback), 1)
-    keys = ([partition_by] if partition_by else []) + order
-    numbered = global_row_number(df, keys, "_rn")
-    expanded = _with_halo(
-        numbered,
-        F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("long"),
-        F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - lookback)
-    parts = ([partition_by] if partition_by else []) + ["_chunk"]
-    spec = Window.partitionBy(*parts).orderBy("_rn")
-    out = expanded
+    key = F.col(partition_by) if partition_by else F.lit(0)
+    cuts = key_cuts(df, key, order, lookback, chunk_rows)
+    parts = [partition_by] if partition_by else []
+    if cuts is None:
+        x, spec = df, Window.partitionBy(*(parts or [key])).orderBy(*order)
+    else:
+        at = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(_columns(order))])
+        meets = (key.eqNullSafe(F.col("_ck")) & (F.col("_from").isNull() | (at >= F.col("_from")))
+                 & (F.col("_end").isNull() | (at < F.col("_end"))))
+        x = (df.join(F.broadcast(cuts), meets, "left")
+             .select(*[df[c] for c in df.columns], F.coalesce("_cut", F.lit(0)).alias("_chunk"),
+                     F.coalesce(at < F.col("_start"), F.lit(False)).alias("_halo")))
+        spec = Window.partitionBy(*parts, "_chunk").orderBy(*order)
     for st in stages:
-        out = out.withColumns(dict(st(spec)))
-    return out.filter(~F.col("_halo")).drop("_chunk", "_halo", "_rn")
-
-
-def _with_halo(df: DataFrame, chunk: Column, near_end: Column) -> DataFrame:
-    """Every row once in its own chunk (``_halo`` false) and, when it lies
-    near the chunk end, once more in the next chunk (``_halo`` true).
-    ``stack`` + filter keeps this inside whole-stage codegen."""
-    x = df.select("*", chunk.alias("_c0"), near_end.alias("_ne"))
-    copies = x.select(*df.columns, "_ne", F.expr(
-        "stack(2, _c0, false, _c0 + 1, true) AS (_chunk, _halo)"))
-    return copies.filter(~F.col("_halo") | F.col("_ne")).drop("_ne")
+        x = x.withColumns(dict(st(spec)))
+    return x if cuts is None else x.filter(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def _columns(order: list[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
+
+
+def key_cuts(df: DataFrame, key: Column, order: list[str | Column], lookback: int, chunk_rows: int) -> DataFrame | None:
+    """The chunks of every key with more than ``chunk_rows`` rows: (_ck, _cut, _from,
+    _start, _end), the order keys that its halo and it begin at and that the next one
+    begins at (null: open). None if no key has that many. ``order`` ends with an id.
+
+    Only the key and order columns are read, and only those of large keys are sorted
+    and numbered. There are at most as many large keys as the rows hold chunks; beyond
+    ``MAX_CUTS`` of these the chunks get longer."""
+    chunk_rows = max(int(chunk_rows), int(lookback), 1)
+    names = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(key.alias("_k"), *[o.alias(n) for n, o in zip(names, _columns(order), strict=True)])
+    large = narrow.groupBy("_k").count().where(F.col("count") > chunk_rows)
+    rows = large.toArrow().to_pylist()
+    if not rows:
+        return None
+    chunk_rows = max(chunk_rows, sum(r["count"] for r in rows) // MAX_CUTS)
+    spark = df.sparkSession
+    keys = spark.createDataFrame([(r["_k"],) for r in rows], large.select(F.col("_k").alias("_large")).schema)
+    numbered = global_row_number(narrow.join(F.broadcast(keys), F.col("_k").eqNullSafe(F.col("_large")), "left_semi"),
+                                 ["_k", *names], "_rn")
+    first = numbered.groupBy(F.col("_k").alias("_large")).agg(F.min("_rn").alias("_rn0"))
+    place = F.col("_rn") - F.col("_rn0")
+    marks = (numbered.join(F.broadcast(first), F.col("_k").eqNullSafe(F.col("_large")))
+             .select("_k", (place / chunk_rows).cast("long").alias("c"), (place % chunk_rows).alias("m"), F.struct(*names).alias("at"))
+             .where((F.col("m") == 0) | (F.col("m") == chunk_rows - lookback)))
+    at = {(r["_k"], r["c"], r["m"]): r["at"] for r in marks.collect()}  # two a chunk at most
+    last = {}
+    for k, c, _ in at:
+        last[k] = max(c, last.get(k, 0))
+    halo = chunk_rows - lookback
+    made = [(k, c, at.get((k, c - 1, halo)), at[k, c, 0] if c else None, at.get((k, c + 1, 0))) for k, n in last.items() for c in range(n + 1)]
+    key_type, order_type = marks.schema["_k"].dataType, marks.schema["at"].dataType
+    return spark.createDataFrame(made, T.StructType([
+        T.StructField("_ck", key_type), T.StructField("_cut", T.LongType()), *[
+            T.StructField(n, order_type) for n in ("_from", "_start", "_end")]]))
 
 
 # --- W1 ------------------------------------------------------------------------

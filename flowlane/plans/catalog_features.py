@@ -30,7 +30,7 @@ def q_lag_features(spark, sf):
 def q_lag_features_chunked(spark, sf):
     # Same result through the skew-safe plan (small chunks force many halos).
     df = observations(spark, sf)
-    out = W.lag_features(df, strategy="chunked")
+    out = W.lag_features(df, strategy="chunked", chunk_rows=500)
     return out.select(*_KEY, *[c for c in out.columns if "_lag_" in c])
 
 
@@ -58,7 +58,7 @@ def q_rolling_features(spark, sf):
 
 @register("rolling_features_chunked", _rolling_sql(W.DEFAULT_COLUMNS, W.DEFAULT_WINDOWS))
 def q_rolling_features_chunked(spark, sf):
-    return _rolling_select(W.rolling_features(observations(spark, sf), strategy="chunked"))
+    return _rolling_select(W.rolling_features(observations(spark, sf), strategy="chunked", chunk_rows=500))
 
 
 _ROW_ORDER = 'OVER (ORDER BY "timestamp", event_id'

@@ -282,3 +282,37 @@ def test_uniform_brackets_hold():
             for k in {0, n // 5, n - 1}:
                 lo, hi = uniform_bracket(k, n)
                 assert 0 <= lo <= u[k] <= hi <= 1
+
+
+def test_chunks_move_full_rows_once(spark):
+    """One exchange, one sort and one window node for the rows, cut or not, and no
+    checkpoint of them."""
+    df, _ = _skewed(spark, 2000)
+    for chunk_rows in (50, 1_000_000):
+        out = W.rolling_features(df, chunk_rows=chunk_rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(location") == 1
+        assert plan.count("Window [") == 1
+        assert plan.count("Sort [location") == 1
+    assert W.key_cuts(df, F.col("location"), ["timestamp", "event_id"], 23, 1_000_000) is None
+
+
+def test_cuts_bound_every_chunk(spark):
+    df, _ = _skewed(spark, 3000)
+    cuts = W.key_cuts(df, F.col("location"), ["timestamp", "event_id"], 24, 100).toPandas()
+    assert (cuts.groupby("_ck")._cut.count() == cuts.groupby("_ck")._cut.max() + 1).all()
+    sizes = df.groupBy("location").count().toPandas().set_index("location")["count"]
+    for k, g in cuts.groupby("_ck"):
+        assert len(g) == -(-sizes[k] // 100)
+    out = W._apply_windows(df, [lambda spec: [("n", F.count(F.lit(1)).over(spec))]], "location", ["timestamp", "event_id"], 24,
+                           chunk_rows=100)
+    assert out.agg(F.max("n")).first()[0] <= 124 and out.count() == df.count()
+
+
+def test_chunks_of_rows_without_key_or_time(spark):
+    rows = [(i, None if i % 2 else "A", None if i % 7 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 5), float(i % 13))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, location string, timestamp timestamp, traffic_volume double")
+    a = W.lag_features(df, ["traffic_volume"], [1, 3], strategy="plain").orderBy("event_id").collect()
+    b = W.lag_features(df, ["traffic_volume"], [1, 3], chunk_rows=20).orderBy("event_id").collect()
+    assert a == b
