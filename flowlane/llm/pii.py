@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlane.llm.common import free_name
+
 # What each kind looks like (same language as the plain patterns
 # `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+` and so on).
 PATTERNS = {
@@ -116,9 +118,10 @@ def with_spans(docs: DataFrame, name: str = "spans", text_col: str = "text") ->
     ``KINDS``. A null text counts as empty and has none."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     found = []
-    out = docs.withColumns({f"__{k}__": proposals(text, k) for k in KINDS})
+    raws = {k: free_name(docs, f"found_{k}") for k in KINDS}
+    out = docs.withColumns({raws[k]: proposals(text, k) for k in KINDS})
     for i, kind in enumerate(KINDS):
-        raw = F.col(f"__{kind}__")
+        raw = F.col(raws[kind])
         lengths = F.transform(raw, lambda x: (F.length(x["before"]) + F.length(x["value"])).cast("long"))
         placed = F.zip_with(raw, _running(lengths), lambda x, at: F.struct(
             (at + F.length(x["before"])).alias("start"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"),
@@ -129,7 +132,7 @@ def with_spans(docs: DataFrame, name: str = "spans", text_col: str = "text") ->
         found.append(F.when(F.size(raw) == 0, F.array().cast(SPAN)).otherwise(F.transform(ok, lambda x: F.struct(
             x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["stop"].alias("stop"),
             x["score"].alias("score")))))
-    return (out.withColumn(name, F.array_sort(F.concat(*found))).drop(*[f"__{k}__" for k in KINDS]))
+    return (out.withColumn(name, F.array_sort(F.concat(*found))).drop(*raws.values()))
 
 
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint,score:double>>"
@@ -148,7 +151,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     null, repeated rows give repeated rows, other columns are not read, an empty
     table gives no rows.
     """
-    held = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "found")
+    held = with_spans(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "found")
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     counts = [F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")  # noqa: B023
               for k in BASE]
@@ -160,10 +163,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with each confirmed span replaced by its kind in brackets, kind by
     kind in the order of ``ORDER``, so that what one kind takes is no part of the
-    next; digits that ran into a neighbour's are looked at again in the end. ``chars_col``, if there, follows the new text. Rows without spans, null
-    texts included, stay as they are."""
+    next; digits that ran into a neighbour's are looked at again in the end. ``chars_col``, if
+    there, follows the new text. Rows without spans, null texts and null ids included, stay as
+    they are, repeated rows too; other columns stay, whatever they are called; an empty
+    table gives no rows."""
     t = f"`{text_col}`"
-    new = "__text__"
+    new = free_name(docs, "redacted")
     out = docs.withColumn(new, F.col(t).cast("string"))
     for kind in ORDER:
         pattern, text = PATTERNS[kind], F.col(new)

@@ -28,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import components, forest, written
+from flowlane.llm.common import components, forest, free_name, ship, written
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -64,7 +64,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fingerprint_bits", text_col:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, of(F.col(text_col).cast("string")))
+    return docs.withColumn(name, of(F.col(f"`{text_col}`").cast("string")))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -192,28 +192,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
     it has none); repeated rows give repeated result rows. An empty table gives
     an empty result; other columns are not read.
     """
+    ship(docs.sparkSession)
     prints = written(with_fingerprint(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "fp", "text", shingle)
+        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "fp", "text", shingle)
         .select("doc_id", "fp"), "prints")
     return (prints.join(classes(prints, max_bits).select("fp", "component_id"), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def row_hash(columns: list[str]) -> Column:
+    """A long that tells rows of one class and id apart, most likely."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id (nulls last,
-    then the smallest row hash); of rows equal in every column one stays."""
+    then the smallest row hash); of rows equal in fingerprint, id and hash one stays.
+    Rows of different classes never stand for each other, whatever their hashes.
+    A null or word-less text has fingerprint zero; all columns stay, whatever they are
+    called; an empty table gives no rows."""
+    ship(docs.sparkSession)
     names = docs.columns
-    mark, key = "__fp__", "__row__"
-    held = with_fingerprint(docs, mark, text_col, shingle).withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    prints = written(held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mark).alias("fp"),
+    mark, key = free_name(docs, "fp"), free_name(docs, "row_hash")
+    held = with_fingerprint(docs, mark, text_col, shingle).withColumn(key, row_hash(names))
+    prints = written(held.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(mark).alias("fp"),
                                  F.col(key).alias("row")), "prints")
     # of each class, the fingerprint that holds the smallest id (any if no id is known)
     best = (classes(prints, max_bits).where(F.col("least").eqNullSafe(F.col("component_id")))
             .groupBy("root", "component_id").agg(F.min("fp").alias("fp")).select("fp", "component_id"))
     chosen = (prints.join(best, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
               .groupBy("fp", "doc_id").agg(F.min("row").alias("row"))
-              .select(F.col("row").alias(key), F.col("doc_id").alias("__id__")))
-    out = held.join(chosen, (held[key] == chosen[key]) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id__")),
-                    "left_semi")
-    return out.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in names])
+              .select(F.col("row").alias("its_row"), F.col("fp").alias("its_fp"), F.col("doc_id").alias("its_id")))
+    out = held.join(chosen, (held[key] == chosen["its_row"]) & (held[mark] == chosen["its_fp"])
+                    & held[f"`{id_col}`"].cast("long").eqNullSafe(chosen["its_id"]), "left_semi")
+    return out.dropDuplicates([mark, key]).select(*[F.col(f"`{c}`") for c in names])

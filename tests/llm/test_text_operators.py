@@ -198,6 +198,19 @@ def test_simhash_classes(spark, docs):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_no_class_is_lost_when_row_hashes_clash(spark, docs, monkeypatch):
+    """Every row has the same hash: still one row of each class stays, all columns with it."""
+    df = docs.select("doc_id", "text").withColumns({c: F.lit("mine") for c in ("fp", "row_hash", "its_row", "its_fp", "redacted", "found_ip")})
+    want = simhash.keep_one(df).select("doc_id", "text").collect()
+    monkeypatch.setattr(simhash, "row_hash", lambda columns: F.lit(7).cast("long"))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.where("row_hash = 'mine' and its_fp = 'mine'").count() == len(want)
+    classes = {r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert {r.doc_id for r in kept.collect()} >= classes - {None} and len(want) >= len(classes)
+    masked = pii.redact(df)
+    assert masked.columns == df.columns and masked.where("redacted = 'mine' and found_ip = 'mine'").count() == df.count()
+
+
 @pytest.mark.parametrize("bucket", [4096, 4])
 def test_simhash_links_every_class(spark, bucket):
     rng = np.random.default_rng(5)
