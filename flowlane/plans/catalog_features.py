@@ -382,24 +382,52 @@ def q_preprocess(spark, sf):
     return out.select("event_id", *[_r6(c) for c in _CAP_COLS], "location_encoded")
 
 
-@register("engineer_features", _with_obs("""
-SELECT event_id, location, traffic_volume_lag_24h, round(avg_speed_rolling_mean_24h, 6) AS avg_speed_rolling_mean_24h,
-  round(traffic_volume_rolling_std_24h, 6) AS traffic_volume_rolling_std_24h, congestion_trend
-FROM (
-  SELECT event_id, location,
-    lag(traffic_volume, 24) OVER w AS traffic_volume_lag_24h,
-    lag(avg_speed, 24) OVER w AS avg_speed_lag_24h,
-    avg(avg_speed) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS avg_speed_rolling_mean_24h,
-    coalesce(stddev_samp(traffic_volume) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 0) AS traffic_volume_rolling_std_24h,
-    CASE WHEN d > 0.1 THEN 1 WHEN d < -0.1 THEN -1 ELSE 0 END AS congestion_trend
-  FROM (SELECT *, s - lag(s) OVER w AS d FROM (
-          SELECT *, avg(congestion_level) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s
-          FROM obs WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
-        WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
-  WINDOW w AS (PARTITION BY location ORDER BY "timestamp", event_id))
-WHERE traffic_volume_lag_24h IS NOT NULL AND avg_speed_lag_24h IS NOT NULL"""))
+_ENG_TIME = ["minutes_from_midnight", "part_of_day", "is_business_hours", "day_of_year"]
+_ENG_TERMS = ["volume_weather_interaction", "speed_volume_ratio", "rush_hour_volume", "weekend_volume",
+              "temp_humidity_index", "storm_severity", "weather_impact_score", "congestion_acceleration"]
+_ENG_LAGS = [f"{c}_lag_{k}h" for c in W.DEFAULT_COLUMNS for k in W.DEFAULT_LAGS]
+_ENG_ROLL = [f"{c}_rolling_{s}_{k}h" for c in W.DEFAULT_COLUMNS for k in W.DEFAULT_WINDOWS for s in ("mean", "std", "max", "min")]
+
+
+def _engineered_sql() -> str:
+    w = '(PARTITION BY location ORDER BY "timestamp", event_id'
+    lags = ", ".join(f"lag({c}, {k}) OVER {w}) AS {c}_lag_{k}h" for c in W.DEFAULT_COLUMNS for k in W.DEFAULT_LAGS)
+    roll = []
+    for c in W.DEFAULT_COLUMNS:
+        for k in W.DEFAULT_WINDOWS:
+            frame = f"OVER {w} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+            roll += [f"{f} {frame} AS {c}_rolling_{s}_{k}h" for s, f in (
+                ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("max", f"max({c})"), ("min", f"min({c})"))]
+    rounded = ", ".join([f"round({c}, 6) AS {c}" if "_mean_" in c else f"round(coalesce({c}, 0), 6) AS {c}" if "_std_" in c else c
+                         for c in _ENG_ROLL])
+    return _with_obs(f"""
+SELECT event_id, location, CAST(hour * 60 AS INT) AS minutes_from_midnight,
+  CASE WHEN hour >= 5 AND hour < 12 THEN 0 WHEN hour >= 12 AND hour < 17 THEN 1
+       WHEN hour >= 17 AND hour < 21 THEN 2 ELSE 3 END AS part_of_day,
+  CASE WHEN hour >= 9 AND hour <= 17 AND is_weekend = 0 THEN 1 ELSE 0 END AS is_business_hours,
+  CAST(month * 30 + day_of_month AS INT) AS day_of_year,
+  {", ".join(_ENG_LAGS)}, {rounded},
+  round(traffic_volume * (weather_condition + 1) / 1000.0, 6) AS volume_weather_interaction,
+  round(CASE WHEN traffic_volume > 0 THEN avg_speed / traffic_volume ELSE 0 END, 6) AS speed_volume_ratio,
+  is_rush_hour * traffic_volume AS rush_hour_volume, is_weekend * traffic_volume AS weekend_volume,
+  round(temperature * 0.5 + humidity * 0.5, 6) AS temp_humidity_index,
+  round(precipitation * 0.6 + wind_speed * 0.4, 6) AS storm_severity,
+  round(0.3 * precipitation / nullif(mp, 0) + 0.2 * wind_speed / nullif(mw, 0)
+    + 0.2 * abs(temperature - 25) / 25 + 0.15 * humidity / 100 + 0.15 * weather_condition / 5, 6) AS weather_impact_score,
+  CASE WHEN d > 0.1 THEN 1 WHEN d < -0.1 THEN -1 ELSE 0 END AS congestion_trend,
+  round(coalesce(d - last_d, 0), 6) + 0.0 AS congestion_acceleration
+FROM (SELECT *, lag(d) OVER {w}) AS last_d FROM (
+        SELECT *, s - lag(s) OVER {w}) AS d FROM (
+          SELECT *, avg(congestion_level) OVER {w} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s,
+            max(precipitation) OVER () AS mp, max(wind_speed) OVER () AS mw, {lags}, {", ".join(roll)} FROM obs)))
+WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _ENG_LAGS)}""")
+
+
+@register("engineer_features", _engineered_sql())
 def q_engineer_features(spark, sf):
     from .features import engineer_features
     out = engineer_features(observations(spark, sf))
-    return out.select("event_id", "location", "traffic_volume_lag_24h", _r6("avg_speed_rolling_mean_24h"),
-                      _r6("traffic_volume_rolling_std_24h"), "congestion_trend")
+    exact = {"rush_hour_volume", "weekend_volume"}
+    return out.select(*_KEY, *_ENG_TIME, *_ENG_LAGS,
+                      *[_r6(c) if "_mean_" in c or "_std_" in c else F.col(c) for c in _ENG_ROLL],
+                      *[F.col(c) if c in exact else _r6(c) for c in _ENG_TERMS], "congestion_trend")
