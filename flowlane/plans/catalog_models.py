@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import models as M
 from ..operators import profiles as A
-from ..schema import TARGET
-from ..sources.tables import observations
-from ..streaming.live import live_location_summary
+from ..operators.windows import epoch_micros
+from ..schema import OBSERVATION_COLUMNS, TARGET
+from ..session import ensure_checkpoint_dir
+from ..sources.io import read_observations_checked
+from ..sources.tables import observations, observations_from_events
+from ..streaming.live import live_location_summary, summarise_arrivals
 from .catalog import _label_sql, _r6, _with_obs, register
 from .catalog_features import HEURISTIC_SQL
 
@@ -255,3 +259,62 @@ def q_live_location_summary(spark, sf):
     out = live_location_summary(observations(spark, sf))
     return out.select("window_start", "window_end", "location", _r6("avg_congestion"),
                       _r6("avg_traffic_volume"), _r6("avg_speed"), "samples")
+
+
+# --- ST1 as a stream, S1 rejects -----------------------------------------------------------
+
+_ARRIVALS = 4
+
+
+def _arrival(ts_us, low, high):
+    """The arrival a row comes with: by time, but one later for every 17th id."""
+    return F.least(F.lit(_ARRIVALS - 1), F.floor((ts_us - low) * _ARRIVALS / (high - low + 1)).cast("int")
+                   + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0))
+
+
+@register("live_stream_summary", _with_obs(f"""
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, location, round(avg(congestion_level), 6) AS avg_congestion,
+  round(avg(traffic_volume), 6) AS avg_traffic_volume, round(avg(avg_speed), 6) AS avg_speed, count(*) AS samples
+FROM a WHERE coalesce(w + INTERVAL 1 HOUR > before - INTERVAL 1 HOUR, true)
+  AND w + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM obs) - INTERVAL 1 HOUR
+GROUP BY w, location""", f"""
+k AS (SELECT *, date_trunc('hour', "timestamp") AS w, least({_ARRIVALS - 1}, CAST(floor((epoch_us("timestamp") - min(epoch_us("timestamp")) OVER ()) * {_ARRIVALS}
+    / (max(epoch_us("timestamp")) OVER () - min(epoch_us("timestamp")) OVER () + 1)) AS INT) + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) AS k FROM obs),
+m AS (SELECT k, max("timestamp") AS last FROM k GROUP BY k),
+a AS (SELECT *, (SELECT max(last) FROM m WHERE m.k < k.k) AS before FROM k)"""))
+def q_live_stream_summary(spark, sf):
+    """The events arrive in parts, some rows late; after each part the stream goes on from
+    its checkpoint. The rows are what it appended."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    us = epoch_micros("ts")
+    ends = events.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    for k in range(_ARRIVALS):
+        (events.where(_arrival(us, F.lit(ends.low), F.lit(ends.high)) == k)
+         .write.mode("append").parquet(f"{folder}/in"))
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        summarise_arrivals(observations_from_events(arrived), f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("window_start", "window_end", "location", _r6("avg_congestion"),
+                      _r6("avg_traffic_volume"), _r6("avg_speed"), "samples")
+
+
+@register("rejected_rows", _with_obs("""
+SELECT CASE event_id % 10 WHEN 1 THEN 'value: temperature' WHEN 3 THEN 'fields' WHEN 5 THEN 'value: hour wind_speed'
+  ELSE 'accepted' END AS reason, count(*) AS rows, round(sum(traffic_volume), 6) AS traffic_volume
+FROM obs GROUP BY 1"""))
+def q_rejected_rows(spark, sf):
+    """Observations as CSV with lines that cannot be read, and what reading them says."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    kind = F.col("event_id") % 10
+    bad = {"temperature": kind == 1, "wind_speed": kind == 5, "hour": kind == 5}
+    fields = [F.when(bad[c], F.lit("n/a")).otherwise(F.col(c).cast("string")) if c in bad else F.col(c).cast("string")
+              for c in OBSERVATION_COLUMNS]
+    line = F.when(kind == 3, F.concat_ws(",", *fields[:-1])).otherwise(F.concat_ws(",", *fields))
+    # one column: nothing in a line is a separator or needs quotes
+    observations(spark, sf).select(line.alias("header")).write.option("header", True).option("sep", "\x01").csv(path)
+    rows, rejects = read_observations_checked(spark, path)
+    lost = F.get(F.split("line", ","), F.lit(OBSERVATION_COLUMNS.index("traffic_volume"))).cast("int")
+    return (rows.select(F.lit("accepted").alias("reason"), "traffic_volume")
+            .unionByName(rejects.select("reason", lost.alias("traffic_volume")))
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("rows"), F.sum("traffic_volume").alias("traffic_volume")))

@@ -32,11 +32,42 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "csv",
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
 
 
-def write_observations(df: DataFrame, path: str, fmt: str = "parquet",
-                       partition_by: str | None = "location") -> None:
+def read_observations_checked(spark: SparkSession, path: str, with_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S1 from CSV with its rejects: (rows as ``read_observations`` has them, rejects
+    (file, reason, line)), both from one description of the read. A line is rejected
+    for another number of fields than the header's or for values that are not of their
+    column's type; the reason names those columns. Lines are split at commas: the
+    fixed columns need no quotes."""
+    schema = OBSERVATION_WITH_ID_SCHEMA if with_id else OBSERVATION_SCHEMA
+    line = "_line"
+    raw = (spark.read.schema(T.StructType([*schema.fields, T.StructField(line, T.StringType())])).option("header", True)
+           .option("mode", "PERMISSIVE").option("nanValue", "NaN").option("columnNameOfCorruptRecord", line)
+           .csv(path).withColumn("_file", F.input_file_name()))
+    parts = F.split(line, ",", -1)
+    wrong = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col(f.name).isNull() & (F.trim(F.get(parts, F.lit(i))) != ""), F.lit(f.name))
+        for i, f in enumerate(schema.fields)])), " ")
+    reason = (F.when(F.size(parts) != len(schema.fields), F.lit("fields"))
+              .otherwise(F.concat(F.lit("value: "), wrong)))
+    # the reader judges a line by the columns it is asked for: this condition, which always
+    # holds, asks for all of them
+    whole = F.pmod(F.hash(*schema.names), F.lit(1)) == 0
+    rejects = raw.where(F.col(line).isNotNull() & whole).select(F.col("_file").alias("file"), reason.alias("reason"), F.col(line).alias("line"))
+    doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+    rows = raw.where(F.col(line).isNull() & whole).drop(line, "_file").withColumns(
+        {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
+    return rows, rejects
+
+
+def write_observations(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "location",
+                       max_records: int = 10_000_000) -> None:
     """Overwrite-write observation rows; ``partitionBy(location)`` lets
-    later location filters prune directories."""
-    w = df.write.mode("overwrite")
+    later location filters prune directories. Rows are rebalanced on that column
+    before, so a small location is one file and a large one is split by size among
+    tasks (AQE); no file has more than ``max_records`` rows."""
+    if partition_by:
+        df = df.hint("rebalance", partition_by)
+    w = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":

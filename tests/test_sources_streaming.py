@@ -143,7 +143,8 @@ def test_score_stream_writes(spark, tmpdir_path):
     stream = read_observation_stream(spark, "/root/testdata/sf0.001")
     q = score_stream(stream, os.path.join(tmpdir_path, "scored"), os.path.join(tmpdir_path, "ck2"))
     q.awaitTermination(120)
-    out = spark.read.parquet(os.path.join(tmpdir_path, "scored"))
+    from flowlane.streaming.live import read_scored
+    out = read_scored(spark, os.path.join(tmpdir_path, "scored"))
     assert out.count() == 1000
     assert out.filter(~F.col("congestion_value").between(0, 3)).count() == 0
 
@@ -185,3 +186,124 @@ def test_stream_drops_rows_behind_watermark(spark, tmpdir_path):
     assert got[1] == 1          # the late row (event 3) was dropped
     assert got[5] == 1 and got[9] == 1
     assert 20 not in got        # still open: never emitted in append mode
+
+
+@pytest.fixture(scope="module")
+def bundle_result(spark, obs001):
+    from flowlane.plans.training import train_all
+    return train_all(obs001, models=("linear_regression", "random_forest", "xgboost"), rf_trees=4, rf_depth=3,
+                     gbt_iter=3, gbt_depth=3, engineer=False)
+
+
+def test_a_broken_model_is_left_out_and_reported(spark, bundle_result, tmpdir_path):
+    from flowlane.plans.training import TrainingResult
+    from flowlane.sources import published
+    path = os.path.join(tmpdir_path, "bundle")
+    assert bundle_result.save(path) == "000000000001"
+    whole = TrainingResult.load(spark, path)
+    assert set(whole.models) == {"linear_regression", "random_forest", "xgboost"} and whole.skipped == {}
+    folder = published.read(spark, f"{path}/published", "000000000001")["folder"]
+    trees = [os.path.join(d, f) for d, _, fs in os.walk(f"{folder}/models/random_forest") for f in fs if f.endswith(".parquet")]
+    with open(trees[0], "r+b") as f:
+        f.truncate(os.path.getsize(trees[0]) // 2)
+    again = TrainingResult.load(spark, path)
+    assert set(again.models) == {"linear_regression", "xgboost"} and set(again.skipped) == {"random_forest"}
+    report = {}
+    assert set(M.load_models(f"{folder}/models", report)) <= {"linear_regression", "xgboost", "random_forest"}
+    state = [os.path.join(d, f) for d, _, fs in os.walk(f"{folder}/scaler") for f in fs if f.endswith(".parquet")]
+    with open(state[0], "r+b") as f:
+        f.truncate(10)
+    with pytest.raises(ValueError):
+        TrainingResult.load(spark, path)
+
+
+def test_a_save_that_stops_before_publishing_changes_nothing(spark, bundle_result, tmpdir_path):
+    from flowlane.plans.training import TrainingResult
+    from flowlane.sources import published
+    path = os.path.join(tmpdir_path, "bundle2")
+    with pytest.raises(FileNotFoundError):
+        TrainingResult.load(spark, path)
+    bundle_result.save(path)
+    bundle_result.write(f"{path}/versions/half")   # and the writer is gone
+    assert TrainingResult.load(spark, path).version == "000000000001"
+    assert bundle_result.save(path) == "000000000002"
+    assert TrainingResult.load(spark, path).version == "000000000002"
+    assert not published.publish(spark, f"{path}/published", "000000000002", {"folder": "other"})
+    assert published.read(spark, f"{path}/published", "000000000002")["folder"] != "other"
+
+
+def test_scored_batches_count_once_committed(spark, bundle_result, tmpdir_path):
+    from flowlane.sources import published
+    from flowlane.sources.tables import observations_from_events
+    from flowlane.streaming.live import read_scored, score_stream
+    src, sink, ck, bundle = (os.path.join(tmpdir_path, n) for n in ("in3", "sink3", "ck3", "bundle3"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert read_scored(spark, sink) is None
+
+    def run(part, check=ck):
+        if part is not None:
+            events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(src)
+        stream = observations_from_events(spark.readStream.schema(events.schema).parquet(src))
+        score_stream(stream, sink, check, bundle=bundle).awaitTermination(120)
+
+    run(0)                               # no version yet: the heuristic
+    bundle_result.save(bundle)
+    run(1)                               # the version published since
+    out = read_scored(spark, sink)
+    assert out.count() == 1000
+    assert {(r.batch_id, r.n) for r in out.groupBy("batch_id").agg(F.max(F.size("model_predictions")).alias("n")).collect()} == {(0, 0), (1, 3)}
+    # a folder without a commit is not read; a committed batch that is replayed changes nothing
+    out.limit(5).write.parquet(f"{sink}/data/000000000007-stopped")
+    run(None, os.path.join(tmpdir_path, "ck3-new"))
+    assert read_scored(spark, sink).count() == 1000
+    assert published.names(spark, f"{sink}/commits") == ["000000000000", "000000000001"]
+
+
+def test_rejected_lines_name_their_reason(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "bad.csv")
+    good = "2024-01-01 08:00:00,8,0,1,1,0,0,1,Downtown,0,1.5,50.0,0.0,3.0,100,30,1.25"
+    lines = [",".join(OBSERVATION_COLUMNS), good, good.replace("1.5", "warm"), good + ",9", good.replace(",50.0", ""),
+             good.replace("08:00:00", "late").replace("100", "1e"), good.replace("1.5", "").replace("50.0", "NaN")]
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    rows, rejects = io.read_observations_checked(spark, path)
+    assert [(r.temperature, r.humidity) for r in rows.orderBy(F.col("temperature").desc()).collect()] == [(1.5, 50.0), (None, None)]
+    got = sorted((r.reason, r.line) for r in rejects.collect())
+    assert got == sorted([("value: temperature", lines[2]), ("fields", lines[3]), ("fields", lines[4]),
+                          ("value: timestamp traffic_volume", lines[5])])
+    assert all(r.file.endswith("bad.csv") for r in rejects.collect())
+
+
+def test_a_hot_location_is_split_into_bounded_files(spark, tmpdir_path):
+    import glob
+    path = os.path.join(tmpdir_path, "hot")
+    obs = spark.range(30_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "HOT").otherwise(
+        F.concat(F.lit("c"), F.col("id") % 20)).alias("location"), F.rand(1).alias("x"), F.rand(2).alias("y")).repartition(16)
+    io.write_observations(obs, path, max_records=4000)
+    files = {os.path.basename(d): glob.glob(f"{d}/*.parquet") for d in glob.glob(f"{path}/location=*")}
+    assert len(files["location=HOT"]) >= 3 and all(len(f) == 1 for k, f in files.items() if "HOT" not in k)
+    assert all(spark.read.parquet(f).count() <= 4000 for fs in files.values() for f in fs)
+    assert spark.read.parquet(path).count() == 30_000
+
+
+def test_stream_that_stops_half_way_goes_on(spark, tmpdir_path):
+    """Two runs from one checkpoint append what one run over the same arrivals does."""
+    import datetime as dt
+    from flowlane.sources.tables import observations_from_events
+    from flowlane.streaming.live import summarise_arrivals
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t0 = dt.datetime(2024, 1, 2)
+    parts = [[(1, 1), (2, 5)], [(3, 1), (4, 3), (5, 9)], [(6, 6), (7, 20)]]
+
+    def run(name, stops):
+        base = os.path.join(tmpdir_path, name)
+        for k, part in enumerate(parts):
+            spark.createDataFrame([(i, t0 + dt.timedelta(hours=h), 0, "v", 1.0, None) for i, h in part], schema).write.mode(
+                "append").parquet(f"{base}/in")
+            if k in stops:
+                stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+                summarise_arrivals(observations_from_events(stream), f"{base}/out", f"{base}/ck")
+        return sorted((r.window_start.hour, r.samples) for r in spark.read.parquet(f"{base}/out").collect())
+
+    assert run("each", {0, 1, 2}) == [(1, 1), (5, 1), (9, 1)]      # 3, 4 and 6 come behind the watermark
+    assert run("last", {2}) == [(1, 2), (3, 1), (5, 1), (6, 1), (9, 1)]
