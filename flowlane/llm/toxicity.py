@@ -42,8 +42,8 @@ DISCOUNT = 0.75
 LETTERS = 256        # assumed size of the alphabet for the uniform end of the chain
 TOP = 3              # strongest words that count one by one
 TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
-PIECE_ROWS = 1 << 20  # about the rows of the counts in one file
-CACHED = 60_000      # words whose evidence a worker keeps
+PIECE_ROWS = 1 << 17  # about the rows of the counts in one file
+CACHED = 200_000     # words whose evidence a worker keeps
 LOT = 500_000        # characters of the texts that are scored at a time
 SLICE = 100_000      # letter groups that are looked at at a time
 CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on, half of them for each class
