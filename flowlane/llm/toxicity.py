@@ -44,6 +44,7 @@ TOP = 3              # strongest words that count one by one
 TOXIC_WEIGHT = 2.0   # of a toxic row against an ordinary one in the fit of the curve
 PIECE_ROWS = 1 << 17  # about the rows of the counts in one file
 CACHED = 200_000     # words whose evidence a worker keeps
+COUNTED = 60_000     # different words whose groups are counted at a time
 LOT = 500_000        # characters of the texts that are scored at a time
 SLICE = 100_000      # letter groups that are looked at at a time
 CALIBRATION_ROWS = 20_000  # bound of the labelled rows the logistic curve is fitted on, half of them for each class
@@ -105,7 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen[label].update(split_words(text))
-            if len(seen[0]) + len(seen[1]) > CACHED or len(text or "") > LOT:
+            if len(seen[0]) + len(seen[1]) > COUNTED or len(text or "") > LOT:
                 yield from flush(seen)
                 seen = [Counter(), Counter()]
     yield from flush(seen)
