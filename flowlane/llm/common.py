@@ -3,6 +3,7 @@ intermediate tables, and connected components over an edge table."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,15 @@ def ship(spark: SparkSession) -> None:
     sc._flowlane_shipped = True
 
 
+def give_back() -> None:
+    """Return the memory that a worker has freed to the system, at the end of a task:
+    Spark keeps idle workers, and what their allocators hold is missing in later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import written
+from flowlane.llm.common import give_back, written
 from flowlane.llm.words import encoder
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, `offset` long")
+REMEMBERED = 100_000  # chunks and pieces whose ids a worker keeps, twice each
 
 
 def best_fill(lengths: list[int], counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -165,7 +166,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 2, win
     after = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, REMEMBERED)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
 
@@ -190,6 +191,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 2, win
             rows.append((*[None] * 7, [dict(zip(LEFT, i, strict=True)) for i in left], part))
         if rows:
             yield _batch(rows)
+        del rows, run, pool, left
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     one = written(source.mapInArrow(

@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlane.llm.common import free_name, hash_sample, held_out, place, ship, work_folder, written
+from flowlane.llm.common import free_name, give_back, hash_sample, held_out, place, ship, work_folder, written
 
 ORDER = 5            # letters in a group: four of context and one
 DISCOUNT = 0.75
@@ -110,6 +110,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush(seen)
                 seen = [Counter(), Counter()]
     yield from flush(seen)
+    del seen
+    give_back()
 
 
 class Model:
@@ -336,9 +338,11 @@ class Scorer:
         name, weights = self.name, self.weights
 
         @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            x = _opened(name).evidence(texts.tolist())
-            return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                x = _opened(name).evidence(texts.tolist())
+                yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
+            give_back()
 
         return score(text)
 
