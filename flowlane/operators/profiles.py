@@ -9,7 +9,7 @@ holds a third of all rows therefore costs no more than any other key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -145,12 +145,14 @@ def summary_stats(df: DataFrame, value: str = TARGET, approx_distinct: bool = Fa
 def value_distribution(df: DataFrame, col: str = TARGET) -> DataFrame:
     """Count per distinct raw value, with the level label when the
     value is a whole level and ``Level x`` otherwise."""
-    v = F.col("value")
-    whole = (v == F.floor(v)) & v.between(0, 3)
     return (df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
-            .select("value", "count",
-                    F.when(whole, level_label(v.cast("int")))
-                    .otherwise(F.concat(F.lit("Level "), v.cast("string"))).alias("label")))
+            .select("value", "count", value_label(F.col("value")).alias("label")))
+
+
+def value_label(v: Column) -> Column:
+    """The level label of a whole level, ``Level x`` of any other value."""
+    whole = (v == F.floor(v)) & v.between(0, 3)
+    return F.when(whole, level_label(v.cast("int"))).otherwise(F.concat(F.lit("Level "), v.cast("string")))
 
 
 def level_distribution(df: DataFrame, mode: str = "floor", value: str = TARGET) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import models as M
 from ..operators import profiles as A
+from ..operators import states as S
 from ..operators.windows import epoch_micros
 from ..schema import OBSERVATION_COLUMNS, TARGET
 from ..session import ensure_checkpoint_dir
@@ -318,3 +319,84 @@ def q_rejected_rows(spark, sf):
     return (rows.select(F.lit("accepted").alias("reason"), "traffic_volume")
             .unionByName(rejects.select("reason", lost.alias("traffic_volume")))
             .groupBy("reason").agg(F.count(F.lit(1)).alias("rows"), F.sum("traffic_volume").alias("traffic_volume")))
+
+
+# --- A7, A8, A11, A12 from stored states -----------------------------------------------------
+
+_STATE_COLUMNS = ["congestion_level", "traffic_volume", "avg_speed", "temperature"]
+
+
+def _stored_states(spark, sf):
+    """The observations reduced in three batches, by id, and read back."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    obs = observations(spark, sf)
+    for k in range(3):
+        batch = S.partial_states(obs.where(F.col("event_id") % 3 == k), _STATE_COLUMNS)
+        S.append_states(batch, folder, f"{k:012d}")
+    return S.read_states(spark, folder)
+
+
+def _middle(states, obs):
+    """The states of the second and third quarter of the hours, and the bounds."""
+    hour = F.date_trunc("hour", "timestamp")
+    ends = obs.agg(F.min(hour).alias("low"), F.max(hour).alias("high")).select(
+        *[F.timestamp_seconds(F.floor((F.unix_timestamp("low") + (F.unix_timestamp("high") - F.unix_timestamp("low")) * q) / 3600) * 3600)
+          .alias(n) for n, q in (("a", 0.25), ("b", 0.75))]).first()
+    return states.between(ends.a, ends.b), ends
+
+
+_MIDDLE_SQL = """
+e AS (SELECT epoch(date_trunc('hour', min("timestamp"))) AS low, epoch(date_trunc('hour', max("timestamp"))) AS high FROM obs),
+mid AS (SELECT obs.* FROM obs, e WHERE epoch("timestamp") >= floor((low + (high - low) * 0.25) / 3600) * 3600
+  AND epoch("timestamp") < floor((low + (high - low) * 0.75) / 3600) * 3600)"""
+
+
+@register("hourly_band_from_states", _with_obs("""
+SELECT hour, round(avg(congestion_level), 6) AS mean, round(stddev_samp(congestion_level), 6) AS std,
+  round(avg(congestion_level) + stddev_samp(congestion_level), 6) AS upper,
+  round(avg(congestion_level) - stddev_samp(congestion_level), 6) AS lower
+FROM mid GROUP BY hour""", _MIDDLE_SQL))
+def q_hourly_band_from_states(spark, sf):
+    states, _ = _middle(_stored_states(spark, sf), observations(spark, sf))
+    return S.band_of_states(states).select("hour", _r6("mean"), _r6("std"), _r6("upper"), _r6("lower"))
+
+
+@register("summary_from_states", _with_obs("""
+SELECT v.*, s.* FROM (
+  SELECT congestion_level AS value, count(*) AS count,
+    CASE WHEN congestion_level = floor(congestion_level) AND congestion_level BETWEEN 0 AND 3
+         THEN """ + _label_sql("CAST(congestion_level AS INT)") + """
+         ELSE 'Level ' || CAST(congestion_level AS VARCHAR) END AS label
+  FROM mid GROUP BY congestion_level) v
+CROSS JOIN (
+  SELECT count(*) AS total_records, round(avg(congestion_level), 6) AS avg_congestion,
+    round(avg(traffic_volume), 6) AS avg_traffic_volume, round(avg(avg_speed), 6) AS avg_speed,
+    count(DISTINCT location) AS locations FROM mid) s""", _MIDDLE_SQL))
+def q_summary_from_states(spark, sf):
+    # the value distribution beside the one row of statistics
+    states, _ = _middle(_stored_states(spark, sf), observations(spark, sf))
+    return S.values_of_states(states).crossJoin(F.broadcast(S.summary_of_states(states))).select(
+        "value", "count", "label", "total_records", _r6("avg_congestion"), _r6("avg_traffic_volume"), _r6("avg_speed"), "locations")
+
+
+@register("describe_from_states", _with_obs("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, "
+    f"round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+    f"true AS q25_in_bound, true AS q50_in_bound, true AS q75_in_bound FROM mid" for c in _STATE_COLUMNS), _MIDDLE_SQL))
+def q_describe_from_states(spark, sf):
+    """The quartiles come from sketches with random choices, so the rows say whether
+    their exact ranks among the observations lie within the sketch's bound."""
+    obs = observations(spark, sf)
+    states, ends = _middle(_stored_states(spark, sf), obs)
+    got = S.describe_states(states)
+    mid = obs.where((F.col("timestamp") >= F.lit(ends.a)) & (F.col("timestamp") < F.lit(ends.b)))
+    long = mid.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                          for c in _STATE_COLUMNS])).alias("e")).select("e.*")
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    # a quantile's ranks are those of the rows below it and of the rows up to it
+    ranks = long.join(F.broadcast(got.select("column", *quartiles)), "column").groupBy("column").agg(*[
+        (F.avg((F.col("v") < F.col(q)).cast("int")).alias(f"{q}_low")) for q in quartiles], *[
+        (F.avg((F.col("v") <= F.col(q)).cast("int")).alias(f"{q}_high")) for q in quartiles])
+    return got.join(ranks, "column").select("column", "count", _r6("mean"), _r6("std"), "min", "max", *[
+        ((F.col(f"{q}_low") <= p + S.RANK_ERROR) & (F.col(f"{q}_high") >= p - S.RANK_ERROR)).alias(f"{q}_in_bound")
+        for q, p in quartiles.items()])
