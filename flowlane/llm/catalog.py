@@ -48,7 +48,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("scores")
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,18 +108,24 @@ def _pii_sql() -> str:
                                for rank, (kind, (pattern, _)) in enumerate(_PII_SQL.items()))
     checks = " ".join(f"when '{kind}' then {check}" for kind, (_, check) in _PII_SQL.items())
     counts = ", ".join(f"count(*) filter (kind = '{k}')::bigint as n_{k}" for k in pii.BASE)
-    joined = "string_agg(span, ',' order by start, rank)"
+    joined, scores = (f"string_agg({c}, ',' order by start, rank)" for c in ("span", "score"))
+    words = " ".join(f"when '{k}' then regexp_matches(near_left, '{w}') or regexp_matches(near_right, '{w}')" for k, w in pii.NEARBY.items())
+    base_score = " ".join(f"when '{k}' then {x}" for k, x in pii.SCORES.items())
+    left = "||".join(f"right(coalesce({c}, ''), {pii.REACH})" for c in ("case when i > 1 then ps[i - 1] end", "case when i > 1 then ms[i - 1] end", "ps[i]"))
+    right = "||".join(f"left(coalesce({c}, ''), {pii.REACH})" for c in ("ps[i + 1]", "ms[i + 1]", "ps[i + 2]"))
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 f as ({found}),
 g as (select *, regexp_replace(v, '[^0-9]', '', 'g') as d,
+      right({left}, {pii.REACH}) as near_left, left({right}, {pii.REACH}) as near_right,
       (list_sum(list_transform(ps[1:i], lambda x: length(x)))
        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start from f),
-s as (select doc_id, rank, kind, start, concat_ws(':', kind, start, start + length(v)) as span from g
+s as (select doc_id, rank, kind, start, concat_ws(':', kind, start, start + length(v)) as span,
+      printf('%.1f', least(1, case kind {base_score} end + case when case kind {words} end then {pii.BONUS} else 0 end)::double) as score from g
       where case kind {checks} end),
-a as (select doc_id, {counts}, {joined} filter (rank < {len(pii.BASE)}) as base, {joined} as spans from s group by doc_id)
+a as (select doc_id, {counts}, {joined} filter (rank < {len(pii.BASE)}) as base, {joined} as spans, {scores} as scores from s group by doc_id)
 select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)},
-       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores
 from d left join a using (doc_id)"""
 
 

@@ -100,15 +100,27 @@ def _running(lengths: Column, block: int = 256) -> Column:
 
 
 def proposals(text: Column, kind: str) -> Column:
-    """array<struct<value, before, after>>: matches of a kind and what stands
-    between them (``before`` reaches to the previous match)."""
+    """array<struct<value, before, near>>: matches of a kind, what stands between them
+    (``before`` reaches to the previous match), and whether one of the kind's words is
+    within ``REACH`` characters before or after. That text may hold one neighbouring match
+    on either side; of a chain of matches closer together, the next one only."""
     pattern = PATTERNS[kind]
     both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
                             F.split(text, pattern, -1).alias("p")))
-    lists = F.transform(both, lambda x: F.zip_with(
-        x["m"], F.slice(x["p"], 1, F.size(x["m"])),
-        lambda m, p: F.struct(m.alias("value"), p.alias("before"))))[0]
-    none = F.array().cast("array<struct<value:string,before:string>>")
+
+    def at(a: Column, i: Column, side) -> Column:
+        """The end of an element that is nearest to the match, empty beyond the ends."""
+        return F.coalesce(side(F.get(a, i), F.lit(REACH)), F.lit(""))
+
+    def near(x: Column, i: Column) -> Column:
+        before = F.concat(F.when(i > 0, F.concat(at(x["p"], i - 1, F.right), at(x["m"], i - 1, F.right))).otherwise(""),
+                          at(x["p"], i, F.right))
+        after = F.concat(at(x["p"], i + 1, F.left), at(x["m"], i + 1, F.left), at(x["p"], i + 2, F.left))
+        return (F.right(before, F.lit(REACH)).rlike(NEARBY[kind])) | (F.left(after, F.lit(REACH)).rlike(NEARBY[kind]))
+
+    lists = F.transform(both, lambda x: F.transform(x["m"], lambda m, i: F.struct(
+        m.alias("value"), F.get(x["p"], i).alias("before"), near(x, i).alias("near"))))[0]
+    none = F.array().cast("array<struct<value:string,before:string,near:boolean>>")
     return F.when(HINTS[kind](text), lists).otherwise(none)
 
 
@@ -126,8 +138,7 @@ def with_spans(docs: DataFrame, name: str = "spans", text_col: str = "text") ->
         placed = F.zip_with(raw, _running(lengths), lambda x, at: F.struct(
             (at + F.length(x["before"])).alias("start"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"),
             (at + F.length(x["before"]) + F.length(x["value"])).alias("stop"),
-            (F.lit(SCORES[kind]) + F.when(F.right(x["before"], F.lit(REACH)).rlike(NEARBY[kind]), BONUS).otherwise(0.0)
-             ).alias("score"), x["value"].alias("value")))
+            F.when(x["near"], min(1.0, SCORES[kind] + BONUS)).otherwise(SCORES[kind]).alias("score"), x["value"].alias("value")))
         ok = F.filter(placed, lambda x: confirmed(kind, x["value"]))
         found.append(F.when(F.size(raw) == 0, F.array().cast(SPAN)).otherwise(F.transform(ok, lambda x: F.struct(
             x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["stop"].alias("stop"),

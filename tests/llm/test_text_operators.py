@@ -142,6 +142,17 @@ def test_personal_data_spans(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_words_on_either_side_raise_the_score(spark):
+    far = " " + "x " * 30
+    texts = {"call +1 826 555 4081": "0.8", "+1 826 555 4081 (phone)": "0.8", "+1 826 555 4081": "0.6",
+             f"phone{far}+1 826 555 4081{far}phone": "0.6",
+             "contact a@b.co or c@d.eu": "1.0,1.0",      # over the match before
+             "a@b.co, c@d.eu (mail)": "1.0,1.0",         # over the match after
+             "": ""}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.scores for r in pii.find(df).collect()} == dict(enumerate(texts.values()))
+
+
 def test_redaction_leaves_no_span(spark):
     df = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string").withColumns(
         {"n_chars": F.length("text"), "__x__": F.lit(1)})
