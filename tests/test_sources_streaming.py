@@ -307,3 +307,20 @@ def test_stream_that_stops_half_way_goes_on(spark, tmpdir_path):
 
     assert run("each", {0, 1, 2}) == [(1, 1), (5, 1), (9, 1)]      # 3, 4 and 6 come behind the watermark
     assert run("last", {2}) == [(1, 2), (3, 1), (5, 1), (6, 1), (9, 1)]
+
+
+def test_fits_run_at_once(spark):
+    import threading
+    from flowlane.plans.training import at_once
+    met = threading.Barrier(2)
+
+    def fit(n):
+        met.wait(30)  # broken if the other has not begun
+        return spark.range(n).count()
+    assert at_once(spark, {"a": lambda: fit(3), "b": lambda: fit(5)}) == {"a": 3, "b": 5}
+    assert at_once(spark, {}) == {}
+
+    def fails():
+        raise ValueError("no rows")
+    with pytest.raises(ValueError, match="no rows"):
+        at_once(spark, {"a": fails})
